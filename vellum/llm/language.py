@@ -4,7 +4,7 @@
 digest, and of each the first ``row_bytes`` bytes of a dictionary of at most ``dictionary_bytes``. At most
 ``max_languages`` languages are learned from (more raise an error), so dictionaries are at most 512 * 64 KiB.
 
-``classify`` compresses every whole text in blocks of ``block_bytes``, each with each language's dictionary, and adds up the sizes.
+``classify`` lower-cases and compresses every whole text in blocks of ``block_bytes``, each with each language's dictionary, and adds up the sizes.
 ``score`` is the margin by which the second best language's size is larger, as a share of what the text costs there (0 to 1);
 ``rejected`` marks margins under ``margin``, and texts without a letter.
 
@@ -23,11 +23,14 @@ from pyspark.sql import functions as F
 from .arrow import map_batches
 
 _LETTER = re.compile(r"[^\W\d_]")
+_WORD = re.compile(rb"\S+")
+#: Texts under this many bytes are read once from each word on.
+SHORT_BYTES = 256
 
 
 def learn(docs: DataFrame, sample_rows: int = 96, row_bytes: int = 1024, dictionary_bytes: int = 65_536, max_languages: int = 512) -> dict[str, bytes]:
     """Raw-content dictionaries by language from rows (doc_id, text, lang)."""
-    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.substring(F.col("text").cast("binary"), 1, row_bytes).alias("part"))
+    labelled = docs.filter("lang IS NOT NULL AND text IS NOT NULL").select("lang", "doc_id", F.substring(F.lower("text").cast("binary"), 1, row_bytes).alias("part"))
     digest = F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample"))
     order = Window.partitionBy("lang").orderBy(digest, "doc_id", "part")
     sample = labelled.withColumn("place", F.row_number().over(order)).filter(F.col("place") <= sample_rows)
@@ -40,7 +43,7 @@ def learn(docs: DataFrame, sample_rows: int = 96, row_bytes: int = 1024, diction
     return {lang: b"\n".join(p)[:dictionary_bytes] for lang, p in parts.items()}
 
 
-def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 1, block_bytes: int = 4096, margin: float = 0.01) -> DataFrame:
+def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 6, block_bytes: int = 1024, margin: float = 0.003) -> DataFrame:
     """doc_id, lang_pred, score and rejected of each row of ``docs`` (doc_id, text)."""
     shared = docs.sparkSession.sparkContext.broadcast(sorted(dictionaries.items()))
 
@@ -57,8 +60,11 @@ def classify(docs: DataFrame, dictionaries: dict[str, bytes], level: int = 1, bl
         def judge(text):
             if text is None or not tools or not _LETTER.search(text):
                 return "und", 0.0, True
-            raw = text.encode("utf-8", "replace")
-            blocks = [raw[at : at + block_bytes] for at in range(0, len(raw), block_bytes)]
+            raw = text.lower().encode("utf-8", "replace")
+            if len(raw) < SHORT_BYTES:  # whole bytes are coarse here: each word's start gives another reading
+                blocks = [raw[m.start() :] for m in _WORD.finditer(raw)]
+            else:
+                blocks = [raw[at : at + block_bytes] for at in range(0, len(raw), block_bytes)]
             sizes = np.array([sum(len(tool.compress(b)) for b in blocks) for tool in tools])
             order = np.argsort(sizes, kind="stable")
             if len(order) == 1:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, language, mixing, packing, quality, topk
+from . import chat, dedup, language, licenses, mixing, packing, quality, topk
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -46,6 +46,10 @@ def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(spark.read.parquet(f"{sf_dir}/documents.parquet")).drop("lang")
 
 
+def op8_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.license_scan(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
 def op9_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), "vec_id", "embedding", 256)
     return topk.top_k(vectors, vectors.filter(F.col("vec_id") % 50 == 0))
@@ -61,6 +65,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_minhash_near_dedup": op5_minhash_near_dedup,
     "op6_language_id": op6_language_id,
     "op7_quality_rules": op7_quality_rules,
+    "op8_license_scan": op8_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
 }
