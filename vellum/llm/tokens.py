@@ -34,13 +34,14 @@ def _byte_alphabet() -> dict[int, str]:
 
 
 class WordTokenizer:
-    """``ids(text)`` gives the bytes of a text's ids as little-endian uint32."""
+    """``ids(text)`` gives the bytes of a text's ids as little-endian uint32; with ``ordinary_specials``, special tokens' strings in a text are ordinary text."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, ordinary_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.whole = Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = ordinary_specials
         self.model = self.whole.model
         self.alphabet = _byte_alphabet()
         self.table = WordTable(self._word)
