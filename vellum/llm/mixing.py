@@ -47,10 +47,10 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     since = by_ratio.rowsBetween(Window.currentRow, Window.unboundedFollowing)
     cap = F.col("source_size") * F.lit(float(max_epochs))
     level = (F.sum("source_size").over(everyone) * F.lit(float(share)) - F.coalesce(F.sum(cap).over(before), F.lit(0.0))) / F.sum("weight").over(since)
-    leveled = sources.withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("weight") < cap)
-    first = F.min(F.when(F.col("_free"), F.col("_level"))).over(everyone)
+    leveled = sources.withColumn("_place", F.row_number().over(by_ratio)).withColumn("_level", level).withColumn("_free", F.col("_level") * F.col("weight") < cap)
+    first = F.min(F.when(F.col("_free"), F.struct("_place", "_level"))).over(everyone)["_level"]
     target = F.least(cap, F.coalesce(F.col("weight") * first, cap))
-    return leveled.withColumn("target", target).drop("_level", "_free")
+    return leveled.withColumn("target", target).drop("_place", "_level", "_free")
 
 
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
@@ -91,11 +91,11 @@ WITH d AS (
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
 l AS (
-  SELECT *, (sum(source_size) OVER () * 1.5::DOUBLE
+  SELECT *, row_number() OVER o AS place, (sum(source_size) OVER () * 1.5::DOUBLE
              - COALESCE(sum(source_size * 2.0::DOUBLE) OVER (o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0))
             / sum(weight) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS lev
   FROM w WINDOW o AS (ORDER BY source_size / weight, source NULLS LAST)),
-f AS (SELECT *, min(CASE WHEN lev * weight < source_size * 2.0 THEN lev END) OVER () AS first FROM l),
+f AS (SELECT *, arg_min(lev, place) FILTER (lev * weight < source_size * 2.0) OVER () AS first FROM l),
 t AS (SELECT source, source_size, LEAST(source_size * 2.0::DOUBLE, COALESCE(weight * first, source_size * 2.0::DOUBLE)) AS target FROM f),
 p AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size)::BIGINT ELSE 0 END AS whole FROM t),
 r AS (SELECT source, range, sum(size)::BIGINT AS range_size FROM d GROUP BY ALL),
