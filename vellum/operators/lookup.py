@@ -57,7 +57,8 @@ def unique_matches(left: DataFrame, right: DataFrame, keys: list[str], left_id:
 
 def moved_folders(moves: DataFrame, old: str, new: str) -> DataFrame:
     """From the old and new path of each file (new null where it didn't move): the folders all of whose files moved, with the same tail, to one other folder."""
-    tails = moves.select(F.col(old).alias("o"), F.col(new).alias("n"), F.explode(paths.prefixes(paths.folder(F.col(old)))).alias("folder"))
+    files = moves.select(F.col(old).alias("o"), F.col(new).alias("n"), paths.folder(F.col(old)).alias("f"))
+    tails = files.select("o", "n", F.explode(paths.prefixes(F.col("f"))).alias("folder"))
     tail = F.substr("o", F.length("folder") + 1)
     target = F.when(F.col("n").endswith(tail), F.substring(F.col("n"), F.lit(1), F.length("n") - F.length(tail)))
     judged = tails.withColumn("target", target).groupBy("folder").agg(F.count("*").alias("files"), F.count("target").alias("moved"), F.min("target").alias("target"), F.max("target").alias("other"))

@@ -1,0 +1,4 @@
+"""Named queries; importing this package registers them."""
+
+from . import listings, maintenance, relations, sequences  # noqa: F401
+from .registry import ORACLES, QUERIES  # noqa: F401
