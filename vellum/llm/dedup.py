@@ -168,7 +168,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     sets = cut(_sets(docs, wanted, shingle))
     labels, links, held, total = wanted.select("node", F.col("node").alias("comp")), None, None, wanted.count()
     turn, last = 0, total == 0
-    while not last or turn == 0:
+    while True:
         member = cut(meets.join(labels, "node"))
         spread = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), "node").alias("hub")).filter("lo < hi")
         if last:
