@@ -16,6 +16,12 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def _dense(edges: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
+    """Written down, and read by as many tasks as its rows are worth, so that small rounds don't cost many small files."""
+    edges = checkpointed(edges)
+    return edges.coalesce(max(1, -(-edges.count() // rows_per_task)))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """From edges (a, b) of any orderable type: one row a vertex, ``node`` and ``component``, its smallest reachable vertex.
 
@@ -25,7 +31,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
     vertices = pairs.select("u").union(pairs.select("v")).distinct()
-    now = checkpointed(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    now = _dense(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
         both = now.union(now.select("v", "u")).toDF("u", "v")
@@ -33,7 +39,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = checkpointed(small.filter("u <> v").distinct())
+        now = _dense(small.filter("u <> v").distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
