@@ -154,7 +154,7 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts, make, "node long, items binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of each row."""
     k = chunks * width
     rows = cut(signatures(docs, shingle, k))
@@ -166,7 +166,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     # the sets of those that meet any, by their whole texts
     wanted = cut(meets.select("node").distinct().join(nodes.select("node", "first_id", "set_key"), "node"))
     sets = cut(_sets(docs, wanted, shingle))
-    labels, links, held, total = wanted.select("node", F.col("node").alias("comp")), None, None, wanted.count()
+    labels, held, total = wanted.select("node", F.col("node").alias("comp")), None, wanted.count()
     turn, last = 0, total == 0
     while True:
         member = cut(meets.join(labels, "node"))
@@ -183,11 +183,13 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
             pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
         pairs = cut(pairs.select("a", "b"))
         found = cut(_confirmed(_near(pairs, nodes, percent, k), sets, percent))
-        links, held = (found, pairs) if links is None else (links.union(found), held.union(pairs))
+        held = pairs if held is None else held.union(pairs)
         merged = found.count()
-        if merged:
-            linked = connected_components(links)
-            labels = cut(wanted.select("node").join(linked, "node", "left").select("node", F.coalesce("component", "node").alias("comp")))
+        if merged:  # links between components are edges of the graph of components
+            a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+            linked = connected_components(found.join(a, "a").join(b, "b").select("comp_a", "comp_b").distinct(), "comp_a", "comp_b")
+            linked = linked.withColumnRenamed("node", "comp")
+            labels = cut(labels.join(linked, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
         if last:
             break
         turn, last = turn + 1, turn + 1 >= rounds or merged < 0.02 * total
