@@ -12,12 +12,12 @@ COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
 
 def corpus(spark):
     rng = random.Random(4)
-    parts = {"en": ("the of and to in", "abcdefgh"), "de": ("der die und das mit", "klmnopqr")}
+    parts = {"en": ("the of and to in", ["ing", "tion", "er", "ly", "ent", "sh", "wh", "ou"]), "de": ("der die und das mit", ["sch", "keit", "ung", "lich", "ver", "pf", "be", "ein"])}
     rows = []
     for i in range(160):
         lang = "en" if i % 3 else "de"
-        common, letters = parts[lang]
-        text = " ".join(rng.choice(common.split()) if rng.random() < 0.5 else "".join(rng.choices(letters, k=5)) for _ in range(120))
+        common, syllables = parts[lang]
+        text = " ".join(rng.choice(common.split()) if rng.random() < 0.5 else "".join(rng.choices(syllables, k=3)) for _ in range(120))
         rows.append((i, text, lang, f"s{i % 4}", len(text)))
     rows += [(1000 + i, rows[i][1] + " end", rows[i][2], "s0", 1) for i in range(10)]
     rows += [(2000, "too short", "en", "s1", 9), (2001, None, "en", "s1", 0), (2002, "word " * 400, "en", "s1", 2000)]
