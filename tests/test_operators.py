@@ -190,3 +190,71 @@ def test_paths(spark):
     p = F.col("p")
     row = df.select(paths.folder(p), paths.stem(p), paths.extension(p), paths.format_class(p), paths.moved(p, "lib/2024", "x"), paths.prefixes(p)).first()
     assert tuple(row) == ("lib/2024", "IMG.1", "arw", "raw", "x/IMG.1.ARW", ["lib", "lib/2024", "lib/2024/IMG.1.ARW"])
+
+
+def test_rank_select_matches_a_sort(spark):
+    from vellum.operators import arrays
+
+    rng = random.Random(6)
+    v = [rng.choice([rng.gauss(0, 1), 0.25, -3.0]) for _ in range(500)]
+    df = spark.createDataFrame([(x,) for x in v] + [(None,)], "v double")
+    for rank in (0, 3, 250, 499):
+        assert arrays.rank_select(df, F.col("v"), rank, min(v), max(v), bins=4, rounds=2) == sorted(v)[rank]
+    assert arrays.rank_select(df, F.col("v"), 500, min(v), max(v)) is None
+
+
+def test_largest_rectangle_against_brute_force(spark):
+    from vellum.operators import arrays
+
+    rng = random.Random(7)
+    rows = [(g, x, y, rng.random() < 0.75) for g in range(4) for x in range(7) for y in range(6)]
+    got = {r["g"]: r for r in arrays.largest_rectangle(spark.createDataFrame(rows, "g int, x int, y int, on boolean"), ["g"], "x", "y", "on").collect()}
+    for g in range(4):
+        on = {(x, y) for k, x, y, v in rows if k == g and v}
+        full = lambda a, b, w, h: all((x, y) in on for x in range(a, a + w) for y in range(b, b + h))
+        best = max(w * h for a in range(7) for b in range(6) for w in range(1, 8 - a) for h in range(1, 7 - b) if full(a, b, w, h))
+        r = got[g]
+        assert r["area"] == best == r["width"] * r["height"] and full(r["left"], r["top"], r["width"], r["height"])
+
+
+def test_consensus_finds_the_map_among_outliers(spark):
+    rng = random.Random(8)
+    rows = []
+    for i in range(60):
+        x, y = rng.uniform(0, 100), rng.uniform(0, 100)
+        bx, by = (2 * x - y + 5, x + 3 * y - 1) if i < 40 else (rng.uniform(0, 300), rng.uniform(0, 300))
+        rows.append((1, x, y, bx, by))
+    rows += [(2, 1.0, 1.0, 2.0, 2.0)]
+    got = similarity.consensus(spark.createDataFrame(rows, "p int, ax double, ay double, bx double, by_ double"), ["p"], 0.5).collect()
+    assert len(got) == 1 and got[0]["agreed"] >= 40
+    assert all(abs(got[0][f"m{i}"] - v) < 1e-6 for i, v in enumerate((2, -1, 5, 1, 3, -1)))
+
+
+def test_reachable_ends_on_cycles(spark):
+    edges = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (None, 1)], "a int, b int")
+    assert sorted(ids(graph.reachable(edges, spark.createDataFrame([(1,)], "node int")), "node")) == [1, 2, 3]
+
+
+def test_document_differences_apply_and_undo(spark):
+    from vellum.operators import documents
+
+    df = spark.createDataFrame([('{"a":1,"b":"x","c":{"d":1}}', '{"a":2,"c":{"d":1},"e":[1]}'), (None, '{"a":1}')], "old string, new string")
+    d = df.withColumn("diff", documents.difference(F.col("old"), F.col("new")))
+    rows = d.select("diff", documents.apply(F.col("old"), F.col("diff")).alias("on"), documents.apply(F.col("new"), F.col("diff"), True).alias("back"), documents.fields(F.col("old")).alias("o"), documents.fields(F.col("new")).alias("n")).collect()
+    assert set(rows[0]["diff"]) == {"a", "b", "e"}
+    assert all(r["on"] == r["n"] and r["back"] == r["o"] for r in rows)
+
+
+def test_merged_table_is_the_same_for_a_repeated_batch(spark, tmp_path):
+    from vellum.streaming.change_log import MergedTable, read_log
+
+    log = spark.createDataFrame([(k, s, f"v{k}{s}") for k in range(5) for s in range(6)], "k int, s int, v string")
+    log.repartition(4).write.parquet(f"{tmp_path}/log")
+    table = MergedTable(f"{tmp_path}/table", ["k"], "s")
+    run = table.start(read_log(spark, f"{tmp_path}/log", log.schema, 1), f"{tmp_path}/progress")
+    run.awaitTermination()
+    last = max(p.batchId for p in run.recentProgress if p.numInputRows)
+    want = [(k, 5, f"v{k}5") for k in range(5)]
+    assert sorted(map(tuple, table.read(spark, last).collect())) == want
+    table.apply(log.filter("s = 5"), last)
+    assert sorted(map(tuple, table.read(spark, last).collect())) == want

@@ -60,3 +60,65 @@ def interpolated(v: Column, xs: list[float], ys: list[float]) -> Column:
     from ..functions.colour import piecewise_linear
 
     return piecewise_linear(v, list(zip(xs, ys)))
+
+
+def rank_select(rows: DataFrame, value: Column, rank: int, low: float, high: float, bins: int = 1024, rounds: int = 3) -> float | None:
+    """The value at a rank (from 0) without a sort: a histogram finds the bin that holds it, and the bin is refined. What is left after the rounds, if it still has
+    different values, is told apart by counts of equal values. Only counts of at most ``bins`` bins reach the driver at once."""
+    rows = rows.select(value.cast("double").alias("v")).filter("v IS NOT NULL AND NOT isnan(v)")
+    below, at = F.lit(True), rank
+    for _ in range(rounds):
+        width = (high - low) / bins
+        if width <= 0:
+            break
+        number = F.greatest(F.lit(0), F.least(F.lit(bins - 1), F.floor((F.col("v") - low) / width)))
+        counts = rows.filter(below).groupBy(number.alias("b")).agg(F.count("*").alias("n"), F.min("v").alias("least"), F.max("v").alias("most")).orderBy("b").collect()
+        for c in counts:
+            if at < c["n"]:
+                low, high = c["least"], c["most"]
+                break
+            at -= c["n"]
+        else:
+            return None
+        below = F.col("v").between(low, high)
+        if low == high:
+            return low
+    equal = rows.filter(below).groupBy("v").agg(F.count("*").alias("n"))
+    w = Window.partitionBy(F.lit(0)).orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    hit = equal.withColumn("upto", F.sum("n").over(w)).filter(F.col("upto") > at).agg(F.min("v")).first()[0]
+    return hit
+
+
+def tiles(rows: DataFrame, x: str, y: str, size: int, measures: dict[str, Column], by: list[str] | None = None) -> DataFrame:
+    """Reduces a grid of rows to tiles of ``size`` by ``size``; again with the result's tile_x, tile_y for a pyramid."""
+    return rows.groupBy(*(by or []), F.floor(F.col(x) / size).alias("tile_x"), F.floor(F.col(y) / size).alias("tile_y")).agg(*[c.alias(n) for n, c in measures.items()])
+
+
+def largest_rectangle(rows: DataFrame, by: list[str], x: str, y: str, filled: str) -> DataFrame:
+    """The largest all-filled axis-aligned rectangle of each group's grid: left, top, width, height, area (ties: topmost, then leftmost). A group is one picture's mask."""
+    import pandas as pd
+
+    def search(pdf: pd.DataFrame) -> pd.DataFrame:
+        hit = pdf[pdf[filled].fillna(False).astype(bool)]
+        best = (0, 0, 0, 0, 0)
+        if len(hit):
+            x0, y0 = int(hit[x].min()), int(hit[y].min())
+            grid = np.zeros((int(hit[y].max()) - y0 + 1, int(hit[x].max()) - x0 + 2), np.int64)
+            grid[hit[y] - y0, hit[x] - x0] = 1
+            tall = np.zeros(grid.shape[1], np.int64)
+            for row in range(len(grid)):
+                tall = np.where(grid[row] == 1, tall + 1, 0)
+                stack: list[tuple[int, int]] = []
+                for col, h in enumerate(tall.tolist()):
+                    start = col
+                    while stack and stack[-1][1] >= h:
+                        start, up = stack.pop()
+                        found = (up * (col - start), -(row - up + 1 + y0), -(start + x0), col - start, up)
+                        best = max(best, found)
+                    stack.append((start, h))
+        area, top, left, width, height = best
+        return pdf[by].head(1).assign(left=-left, top=-top, width=width, height=height, area=area)
+
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", left long, top long, width long, height long, area long"
+    return rows.select(*by, x, y, filled).groupBy(*by).applyInPandas(search, schema)

@@ -45,3 +45,15 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
             break
         mark = new
     return vertices.join(now.groupBy("u").agg(F.min("v").alias("m")), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
+
+
+def reachable(edges: DataFrame, seeds: DataFrame, a: str = "a", b: str = "b", node: str = "node", most_rounds: int = 1000) -> DataFrame:
+    """Nodes that directed edges lead to from the seeds, the seeds too: a frontier is joined and what is known already left out, so cycles end."""
+    steps = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL").distinct()
+    known = frontier = checkpointed(seeds.select(F.col(node).alias("u")).filter("u IS NOT NULL").distinct())
+    for _ in range(most_rounds):
+        frontier = checkpointed(frontier.join(steps, "u").select(F.col("v").alias("u")).distinct().join(known, "u", "left_anti"))
+        if not frontier.limit(1).count():
+            return known.select(F.col("u").alias(node))
+        known = checkpointed(known.unionByName(frontier))
+    raise ValueError(f"not done after {most_rounds} rounds")

@@ -72,3 +72,30 @@ def distinct_matches(left: DataFrame, right: DataFrame, row_id: str, vector: str
     good = best.filter(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))
     back = Window.partitionBy("right_id").orderBy("distance", "left_id")
     return good.withColumn("place", F.row_number().over(back)).filter("place = 1").select("left_id", "right_id", "distance")
+
+
+def consensus(matches: DataFrame, by: list[str], tolerance: float, tries: int = 64, seed: int = 0) -> DataFrame:
+    """From matched points (ax, ay, bx, by_) of each pair: the affine map from samples of three that most matches agree on, refitted to those
+    (m0 to m5, and how many agreed); pairs with fewer than three matches give none."""
+
+    def fit(pdf: pd.DataFrame) -> pd.DataFrame:
+        a = np.column_stack([pdf["ax"], pdf["ay"], np.ones(len(pdf))])
+        b = pdf[["bx", "by_"]].to_numpy(float)
+        order = np.lexsort((b[:, 1], b[:, 0], a[:, 1], a[:, 0]))
+        a, b = a[order], b[order]
+        rng, best = np.random.default_rng(seed), None
+        for _ in range(tries if len(a) >= 3 else 0):
+            pick = rng.choice(len(a), 3, replace=False)
+            if abs(np.linalg.det(a[pick])) < 1e-9:
+                continue
+            agree = np.hypot(*(a @ np.linalg.solve(a[pick], b[pick]) - b).T) <= tolerance
+            if best is None or agree.sum() > best.sum():
+                best = agree
+        if best is None or best.sum() < 3:
+            return pd.DataFrame(columns=[*by, "m0", "m1", "m2", "m3", "m4", "m5", "agreed"])
+        m = np.linalg.lstsq(a[best], b[best], rcond=None)[0]
+        return pdf[by].head(1).assign(**{f"m{i}": v for i, v in enumerate(m.T.ravel())}, agreed=int(best.sum()))
+
+    kinds = dict(matches.dtypes)
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by) + ", " + ", ".join(f"m{i} double" for i in range(6)) + ", agreed long"
+    return matches.select(*by, "ax", "ay", "bx", "by_").groupBy(*by).applyInPandas(fit, schema)

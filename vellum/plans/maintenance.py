@@ -252,3 +252,64 @@ def streamed_merge(t):
 def coalesced_events(t):
     e = t.events.withColumn("ts", F.col("ts").cast("timestamp"))
     return change_log.coalesce_events(e, ["user_id"], "ts", "1 hour", "event_type")
+
+
+@query("WITH e AS (SELECT event_id, user_id, props AS old, lag(props) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS new FROM events) SELECT event_id, CASE WHEN new IS NULL THEN 'removed' WHEN (old->>'$.k') <> (new->>'$.k') THEN 'changed' END AS what FROM e WHERE what IS NOT NULL")
+def document_differences(t):
+    from pyspark.sql import Window
+
+    from ..operators import documents
+
+    e = t.events.withColumn("new", F.lag("props").over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
+    d = e.withColumn("diff", documents.difference(F.col("props"), F.col("new"))).select("event_id", F.explode("diff").alias("field", "change"))
+    return d.select("event_id", F.when(F.col("change.new").isNull(), "removed").otherwise("changed").alias("what"))
+
+
+@query("WITH RECURSIVE e AS (SELECT c_custkey // 2 AS a, c_custkey AS b FROM customer WHERE c_acctbal > 0), r AS (SELECT c_custkey AS node FROM customer WHERE c_acctbal > 9900 UNION SELECT b FROM r JOIN e ON e.a = r.node) SELECT node FROM r")
+def reachable_below(t):
+    edges = t.customer.filter("c_acctbal > 0").select(F.floor(F.col("c_custkey") / 2).alias("a"), F.col("c_custkey").alias("b"))
+    return graph.reachable(edges, t.customer.filter("c_acctbal > 9900").select(F.col("c_custkey").alias("node")))
+
+
+@query("SELECT sum(size)::BIGINT AS bytes, count(*) AS files FROM (SELECT l_partkey, l_suppkey, max(l_quantity)::BIGINT AS size FROM lineitem WHERE l_returnflag <> 'N' GROUP BY 1, 2)")
+def storage_usage(t):
+    files = t.lineitem.filter("l_returnflag <> 'N'").groupBy("l_partkey", "l_suppkey").agg(F.max("l_quantity").cast("long").alias("size"))
+    return files.agg(F.sum("size").alias("bytes"), F.count("*").alias("files"))
+
+
+@query("SELECT DISTINCT regexp_extract(url, '^(.*)/[^/]*$', 1) AS folder FROM pages")
+def distinct_folders(t):
+    return t.pages.select(paths.folder(F.col("url")).alias("folder")).distinct()
+
+
+@query("WITH a AS (SELECT user_id AS f, max(ts) AS m FROM events WHERE ts < TIMESTAMP '2024-01-12' GROUP BY 1), b AS (SELECT user_id AS f, max(ts) AS m FROM events WHERE event_type <> 'view' GROUP BY 1) SELECT f FROM a FULL JOIN b USING (f) WHERE a.m IS DISTINCT FROM b.m")
+def changed_folders(t):
+    a = t.events.filter("ts < TIMESTAMP_NTZ '2024-01-12'").groupBy(F.col("user_id").alias("f")).agg(F.max("ts").alias("m"))
+    b = t.events.filter("event_type <> 'view'").groupBy(F.col("user_id").alias("f")).agg(F.max("ts").alias("n"))
+    return a.join(b, "f", "full").filter("NOT (m <=> n)").select("f")
+
+
+@query("WITH w AS (SELECT p_brand AS label, row_number() OVER (ORDER BY p_brand) - 1 AS place FROM (SELECT DISTINCT p_brand FROM part WHERE p_size > 48)), h AS (SELECT p_brand AS label, row_number() OVER (ORDER BY p_brand) - 1 AS place FROM (SELECT DISTINCT p_brand FROM part WHERE p_size < 3)) SELECT label, CASE WHEN h.place IS NULL THEN 'insert' WHEN w.place IS NULL THEN 'delete' ELSE 'move' END AS action FROM w FULL JOIN h USING (label) WHERE w.place IS DISTINCT FROM h.place")
+def reconciled_labels(t):
+    from ..operators import ordering
+
+    side = lambda where, name: ordering.positions(t.part.filter(where).select(F.col("p_brand").alias("label")).distinct(), ["label"], name, 4)
+    j = side("p_size > 48", "want").join(side("p_size < 3", "have"), "label", "full").filter("NOT (want <=> have)")
+    return j.select("label", F.when(F.col("have").isNull(), "insert").when(F.col("want").isNull(), "delete").otherwise("move").alias("action"))
+
+
+@query("SELECT o_custkey, max((l_orderkey IS NULL)::INT)::BOOLEAN AS owes_any, count(DISTINCT CASE WHEN l_orderkey IS NULL THEN o_orderkey END) AS owed, count(DISTINCT CASE WHEN l_returnflag = 'A' THEN o_orderkey END) AS again FROM orders LEFT JOIN lineitem ON l_orderkey = o_orderkey GROUP BY 1 HAVING owes_any")
+def pending_work(t):
+    j = t.orders.join(t.lineitem.select("l_orderkey", "l_returnflag"), F.col("l_orderkey") == F.col("o_orderkey"), "left")
+    none = F.col("l_orderkey").isNull()
+    out = j.groupBy("o_custkey").agg(F.bool_or(none).alias("owes_any"), F.count_distinct(F.when(none, F.col("o_orderkey"))).alias("owed"), F.count_distinct(F.when(F.col("l_returnflag") == "A", F.col("o_orderkey"))).alias("again"))
+    return out.filter("owes_any")
+
+
+@query("SELECT event_id, CASE WHEN prev IS NULL OR epoch_us(ts) - epoch_us(prev) > 60000000 THEN ts ELSE prev END AS used FROM (SELECT event_id, ts, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS prev FROM events)")
+def touched_by_resolution(t):
+    from pyspark.sql import Window
+
+    prev = F.lag("ts").over(Window.partitionBy("user_id").orderBy("ts", "event_id"))
+    far = F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.col("prev").cast("timestamp")) > 60_000_000
+    return t.events.withColumn("prev", prev).select("event_id", F.when(F.col("prev").isNull() | far, F.col("ts")).otherwise(F.col("prev")).alias("used"))

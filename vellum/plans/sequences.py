@@ -127,3 +127,28 @@ def encoder_quality(t):
 def display_sizes(t):
     w, h = colour.display_size(F.lit(6000), F.lit(4000), F.col("l_discount"), F.col("l_tax"), 1 - F.col("l_tax"), 1 - F.col("l_tax"), F.col("l_linenumber"))
     return t.lineitem.select("l_orderkey", "l_linenumber", w.cast("long").alias("width"), h.cast("long").alias("height"))
+
+
+@query("SELECT quantile_disc(l_extendedprice, 0.5) AS median FROM lineitem")
+def rank_selected_median(t):
+    n = t.lineitem.filter("l_extendedprice IS NOT NULL").count()
+    low, high = t.lineitem.agg(F.min("l_extendedprice"), F.max("l_extendedprice")).first()
+    v = arrays.rank_select(t.lineitem, F.col("l_extendedprice"), (n - 1) // 2, low, high)
+    return t.spark.range(1).select(F.lit(v).cast("double").alias("median"))
+
+
+@query("SELECT (c_custkey % 64) // 8 AS tile_x, (c_custkey // 64) // 8 AS tile_y, count(*) AS n, round(avg(c_acctbal), 4) AS mean, min(c_acctbal) AS low, max(c_acctbal) AS high FROM customer GROUP BY ALL")
+def tile_reduction(t):
+    grid = t.customer.select((F.col("c_custkey") % 64).alias("x"), F.floor(F.col("c_custkey") / 64).alias("y"), "c_acctbal")
+    return arrays.tiles(grid, "x", "y", 8, {"n": F.count("*"), "mean": F.round(F.avg("c_acctbal"), 4), "low": F.min("c_acctbal"), "high": F.max("c_acctbal")})
+
+
+@query()
+def largest_filled_rectangle(t):
+    grid = t.customer.select("c_mktsegment", (F.col("c_custkey") % 32).alias("x"), F.floor(F.col("c_custkey") / 32).alias("y"), (F.col("c_acctbal") > 0).alias("on"))
+    return arrays.largest_rectangle(grid, ["c_mktsegment"], "x", "y", "on")
+
+
+@query("SELECT p_brand, p_partkey, round(sum(w * p2) , 4) AS blurred FROM (SELECT a.p_brand, a.p_partkey, coalesce(b.p_retailprice, CASE WHEN a.rn + o < 1 THEN a.f ELSE a.l END) AS p2, w FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn, first_value(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey) AS f, last_value(p_retailprice) OVER (PARTITION BY p_brand ORDER BY p_partkey ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS l FROM part) a CROSS JOIN (VALUES (-2, 0.1::DOUBLE), (-1, 0.2), (0, 0.4), (1, 0.2), (2, 0.1)) k(o, w) LEFT JOIN (SELECT p_brand, p_retailprice, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS rn FROM part) b ON a.p_brand = b.p_brand AND b.rn = a.rn + o) GROUP BY 1, 2")
+def stencil_of_five(t):
+    return t.part.select("p_brand", "p_partkey", F.round(arrays.moving("p_retailprice", ["p_brand"], ["p_partkey"], [0.1, 0.2, 0.4, 0.2, 0.1]), 4).alias("blurred"))
