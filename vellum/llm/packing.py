@@ -129,7 +129,7 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.999, it
     keep_full = max(1, int(capacity * nearly_full))
     pieces = cut(pieces)
     cols = ["doc_id", "piece", "start", "length", "ids_crc32"]
-    full = pieces.filter(F.col("length") >= capacity).select(*cols, F.monotonically_increasing_id().alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
+    full = pieces.filter(F.col("length") >= capacity).select(*cols, (-1 - F.monotonically_increasing_id()).alias("sequence_id"), F.lit(0).cast("long").alias("offset"))
     items = pieces.filter(F.col("length") < capacity).select(
         F.col("length").alias("fill"), F.array(F.struct(*cols, F.lit(0).cast("long").alias("offset"))).cast(_MEMBERS).alias("members")
     )
