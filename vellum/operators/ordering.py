@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .graph import checkpointed
+
 
 def order_by(ordering: str, taken: str, added: str, row_id: str) -> list[Column]:
     """taken_asc, taken_desc, added_asc or added_desc; undated rows come last both ways, ids follow the direction."""
@@ -45,7 +47,8 @@ def positions(rows: DataFrame, order: list[str], name: str = "position", buckets
     range, and moved by the counts of the ranges before. ``order`` columns ascend with nulls last; end it with a unique one."""
     keys = [F.col(c).asc_nulls_last() for c in order]
     ranged = rows.repartitionByRange(buckets, *keys).withColumn("__part", F.spark_partition_id())
-    local = ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*keys)))
+    # written down, because a second sampling of the ranges could deal the rows otherwise
+    local = checkpointed(ranged.withColumn("__local", F.row_number().over(Window.partitionBy("__part").orderBy(*keys))))
     counts = local.groupBy("__part").agg(F.count("*").alias("__n"))
     before = counts.withColumn("__before", F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("__n")
     return local.join(before, "__part").withColumn(name, (F.col("__before") + F.col("__local") - 1).cast("long")).drop("__part", "__local", "__before")
