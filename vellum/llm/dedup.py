@@ -6,10 +6,12 @@ differ. Each chunk is indexed once for each place the error may have, by the val
 distance meet under a key. With 12 chunks of 6, all pairs up to distance 23 of 72 meet; of pairs with a similarity of just
 0.8, whose mean distance is 14.4, one in 350,000 meets under no key (those over distance 23 mostly do meet).
 
-Copies (equal sets) are one node. Pairs are not enumerated within a key: in each round a node is held against the one node,
-of another component, that is the hub of most of its keys; what is confirmed joins components, and when rounds join next
-to nothing, the pairs of different components that share a key and weren't held against each other yet are held, all of them. So
-no link between components is lost, and links inside one, which change nothing, are not looked for.
+Copies (equal sets) are one node. Pairs are not enumerated within a key: in each of two rounds a node is held against the one node,
+of another component, that is the hub of most of its keys, and what is confirmed joins components. What keys still part
+is held in full: nodes are put into clusters around the least nodes near them; inside a cluster, the rows outside its largest component are held
+against all of its rows in blocks, on full sets, and only links leave a task; pairs of different clusters that share a key are held one by one.
+So no link between components is lost, and links inside one, which change nothing, are not looked for. The blocks' work still grows with
+a group of near copies that are no links of each other times the group, as the comparison asks; its rows don't.
 
 Defined results: null text and text without words have an empty set, n_shingles 0, and are linked with nothing; a text
 with fewer words than the shingle's has its whole sequence as one shingle; repeated rows are each a row of the result; rows
@@ -154,7 +156,44 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
     return map_batches(texts, make, "node long, items binary").dropDuplicates(["node"])
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2) -> DataFrame:
+def _block_links(table: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
+    """Links (a, b) between different components of each cluster, from (node, cluster, comp). A cluster's rows outside its largest component are held
+    against all of its rows, in blocks of about ``block`` by ``block``; a task counts the common shingles of a block pair from a sorted index and
+    gives nothing but links, so no pair becomes a row."""
+    sizes = table.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
+    sizes = sizes.filter("n > largest").select("cluster", "main", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / block).alias("outer"))
+    rows = table.join(sizes, "cluster").join(sets, "node")
+    here = lambda name, n: F.pmod(F.xxhash64("node", F.lit(name)), F.col(n))
+    every = rows.select("cluster", here("i", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("j"), F.lit(False).alias("asks"), "node", "comp", "items")
+    asked = rows.filter("comp <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), here("j", "outer").alias("j"), F.lit(True).alias("asks"), "node", "comp", "items")
+
+    def match(pdf):
+        import pandas as pd
+
+        out = {"a": [], "b": []}
+        ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]]
+        if len(ask) and len(have):
+            items = [np.frombuffer(x, "<u8") for x in have["items"]]
+            n = np.array([len(x) for x in items])
+            tokens, owner = np.concatenate(items), np.repeat(np.arange(len(n)), n)
+            order = np.argsort(tokens, kind="stable")
+            tokens, owner = tokens[order], owner[order]
+            node, comp = have["node"].to_numpy(), have["comp"].to_numpy()
+            for a, of, x in zip(ask["node"], ask["comp"], ask["items"]):
+                x = np.frombuffer(x, "<u8")
+                lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
+                long = hi - lo
+                at = np.repeat(lo - np.cumsum(long) + long, long) + np.arange(long.sum())
+                both = np.bincount(owner[at], minlength=len(n))
+                for b in node[(100 * both >= percent * (len(x) + n - both)) & (comp != of)].tolist():
+                    out["a"].append(min(a, b))
+                    out["b"].append(max(a, b))
+        return pd.DataFrame(out, dtype="int64")
+
+    return every.unionByName(asked).groupBy("cluster", "i", "j").applyInPandas(match, "a long, b long")
+
+
+def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2, block: int = 256) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of each row."""
     k = chunks * width
     rows = cut(signatures(docs, shingle, k))
@@ -166,35 +205,46 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     # the sets of those that meet any, by their whole texts
     wanted = cut(meets.select("node").distinct().join(nodes.select("node", "first_id", "set_key"), "node"))
     sets = cut(_sets(docs, wanted, shingle))
-    labels, held, total = wanted.select("node", F.col("node").alias("comp")), None, wanted.count()
-    turn, last = 0, total == 0
-    while True:
-        member = cut(meets.join(labels, "node"))
-        spread = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), "node").alias("hub")).filter("lo < hi")
-        if last:
-            still = member.join(spread.select("key"), "key")
-            other = still.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = still.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp <> comp_b").select("a", "b").distinct()
-        else:
-            pairs = member.join(spread, "key").filter("comp <> hub.comp").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    labels, held = wanted.select("node", F.col("node").alias("comp")), None
+    for _ in range(rounds):
+        member, spread = _open_keys(meets, labels)
+        pairs = member.join(spread, "key").filter("comp <> hub.comp").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
         if held is not None:
             pairs = pairs.join(held, ["a", "b"], "left_anti")
-        if not last:
-            pairs = pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a"))
-        pairs = cut(pairs.select("a", "b"))
-        found = cut(_confirmed(_near(pairs, nodes, percent, k), sets, percent))
+        pairs = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
         held = pairs if held is None else held.union(pairs)
-        merged = found.count()
-        if merged:  # links between components are edges of the graph of components
-            a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
-            linked = connected_components(found.join(a, "a").join(b, "b").select("comp_a", "comp_b").distinct(), "comp_a", "comp_b")
-            linked = linked.withColumnRenamed("node", "comp")
-            labels = cut(labels.join(linked, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
-        if last:
-            break
-        turn, last = turn + 1, turn + 1 >= rounds or merged < 0.02 * total
+        labels = _merged(labels, cut(_confirmed(_near(pairs, nodes, percent, k), sets, percent)))
+    # what is left: rows of one cluster in blocks, and pairs of different clusters that share a key
+    member, spread = _open_keys(meets, labels)
+    still = cut(member.join(spread.select("key"), "key"))
+    cluster = still.select("node", F.col("node").alias("cluster")).distinct()
+    for _ in range(2):
+        least = still.join(cluster, "node").groupBy("key").agg(F.min("cluster").alias("least"))
+        cluster = cut(still.join(least, "key").groupBy("node").agg(F.min("least").alias("cluster")))
+    placed = still.join(cluster, "node")
+    other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("cluster").alias("cluster_b"))
+    pairs = placed.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp <> comp_b AND cluster <> cluster_b").select("a", "b").distinct()
+    pairs = cut(pairs.join(held, ["a", "b"], "left_anti"))
+    found = _confirmed(_near(pairs, nodes, percent, k), sets, percent)
+    found = found.union(_block_links(labels.join(cluster, "node"), sets, percent, block))
+    labels = _merged(labels, cut(found))
     names = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = names.join(least, "comp").select("set_key", F.col("component_id"))
     out = rows.join(named, "set_key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def _open_keys(meets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(key, node, comp), and the keys that more than one component has, with their hub (least node)."""
+    member = cut(meets.join(labels, "node"))
+    spread = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), "node").alias("hub")).filter("lo < hi")
+    return member, spread
+
+
+def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """Labels after the links found; links between components are edges of the graph of components."""
+    a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
+    edges = found.join(a, "a").join(b, "b").select("comp_a", "comp_b").distinct()
+    linked = connected_components(edges, "comp_a", "comp_b").withColumnRenamed("node", "comp")
+    return cut(labels.join(linked, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
