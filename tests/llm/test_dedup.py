@@ -67,7 +67,7 @@ def test_a_group_of_near_copies_around_one_text(spark):
         for _ in range(rng.randint(1, 5)):
             words[rng.randrange(60)] = f"y{rng.randrange(1000)}"
         docs.append((i, " ".join(words)))
-    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, rounds=1, block=8).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 2, 80)
 
 
