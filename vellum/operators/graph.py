@@ -16,10 +16,8 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def _dense(edges: DataFrame, rows_per_task: int = 200_000) -> DataFrame:
-    """Written down, and read by as many tasks as its rows are worth, so that small rounds don't cost many small files."""
-    edges = checkpointed(edges)
-    return edges.coalesce(max(1, -(-edges.count() // rows_per_task)))
+#: Edges that a task of a round reads and writes.
+EDGES_PER_TASK = 200_000
 
 
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -27,23 +25,26 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Each round hangs every vertex's larger neighbours (large star), then its smaller ones (small star), on the smallest it
     knows; the rounds end when the edges stop changing, after about log(n) of them. Neighbour minima are
-    aggregated map-side; no group is collected. Null ends and self-loops connect nothing, but a self-loop names its vertex.
+    aggregated map-side; no group is collected. A round never has more edges than the one before and one a vertex, so its tasks follow
+    from the edges left: late, small rounds don't write a file for each of the session's shuffle partitions.
+    Null ends and self-loops connect nothing, but a self-loop names its vertex.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
-    vertices = pairs.select("u").union(pairs.select("v")).distinct()
-    now = _dense(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+    vertices = pairs.select(F.explode(F.array("u", "v")).alias("u")).distinct()
+    now = checkpointed(pairs.filter("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
     mark = None
     while True:
-        both = now.union(now.select("v", "u")).toDF("u", "v")
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v").distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(least.select("u", F.col("m").alias("v")))
-        now = _dense(small.filter("u <> v").distinct())
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if new == mark:
             break
-        mark = new
+        mark, tasks = new, max(1, -(-new[0] // EDGES_PER_TASK))
+        both = now.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
+        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")
+        large = large.coalesce(tasks).distinct().coalesce(tasks)
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = large.join(least, "u").select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct("u", F.col("m").alias("v")))).alias("e")).select("e.u", "e.v")
+        now = checkpointed(small.filter("u <> v").coalesce(tasks).distinct().coalesce(tasks))
     return vertices.join(now.groupBy("u").agg(F.min("v").alias("m")), "u", "left").select(F.col("u").alias("node"), F.coalesce("m", "u").alias("component"))
 
 
