@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .arrow import cut, hash_words, map_batches, word_hashes
+from .arrow import cut, cut_dense, hash_words, map_batches, word_hashes
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -200,34 +200,37 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = chunk_keys(nodes, chunks, width)
-    shared = keys.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo < hi").select("key")
+    shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).filter("hub < hi").select("key", "hub")
     meets = cut(keys.join(shared, "key"))
     # the sets of those that meet any, by their whole texts
-    wanted = cut(meets.select("node").distinct().join(nodes.select("node", "first_id", "set_key"), "node"))
+    wanted = cut_dense(meets.select("node").distinct().join(nodes.select("node", "first_id", "set_key"), "node"))
     sets = cut(_sets(docs, wanted, shingle))
     labels, held = wanted.select("node", F.col("node").alias("comp")), None
-    for _ in range(rounds):
-        member, spread = _open_keys(meets, labels)
-        pairs = member.join(spread, "key").filter("comp <> hub.comp").groupBy(F.col("hub.node").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
+    for done in range(rounds):
+        if done:
+            meets = _open_keys(meets, labels)
+            pairs = meets.filter("comp <> hub_comp")
+        else:  # each node is its own component
+            pairs = meets.filter("node <> hub")
+        pairs = pairs.groupBy(F.col("hub").alias("a"), F.col("node").alias("b")).agg(F.count("*").alias("n"))
         if held is not None:
             pairs = pairs.join(held, ["a", "b"], "left_anti")
-        pairs = cut(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
+        pairs = cut_dense(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
         held = pairs if held is None else held.union(pairs)
-        labels = _merged(labels, cut(_confirmed(_near(pairs, nodes, percent, k), sets, percent)))
+        labels = _merged(labels, cut_dense(_confirmed(_near(pairs, nodes, percent, k), sets, percent)))
     # what is left: rows of one cluster in blocks, and pairs of different clusters that share a key
-    member, spread = _open_keys(meets, labels)
-    still = cut(member.join(spread.select("key"), "key"))
+    still = _open_keys(meets, labels).select("key", "node", "comp")
     cluster = still.select("node", F.col("node").alias("cluster")).distinct()
     for _ in range(2):
         least = still.join(cluster, "node").groupBy("key").agg(F.min("cluster").alias("least"))
-        cluster = cut(still.join(least, "key").groupBy("node").agg(F.min("least").alias("cluster")))
+        cluster = cut_dense(still.join(least, "key").groupBy("node").agg(F.min("least").alias("cluster")))
     placed = still.join(cluster, "node")
     other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("cluster").alias("cluster_b"))
     pairs = placed.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp <> comp_b AND cluster <> cluster_b").select("a", "b").distinct()
-    pairs = cut(pairs.join(held, ["a", "b"], "left_anti"))
+    pairs = cut_dense(pairs.join(held, ["a", "b"], "left_anti"))
     found = _confirmed(_near(pairs, nodes, percent, k), sets, percent)
     found = found.union(_block_links(labels.join(cluster, "node"), sets, percent, block))
-    labels = _merged(labels, cut(found))
+    labels = _merged(labels, cut_dense(found))
     names = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = names.join(least, "comp").select("set_key", F.col("component_id"))
@@ -235,11 +238,12 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def _open_keys(meets: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(key, node, comp), and the keys that more than one component has, with their hub (least node)."""
-    member = cut(meets.join(labels, "node"))
+def _open_keys(meets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(key, node, comp, hub, hub_comp): the rows of the keys that more than one component has, with their hub (least node). What one
+    component has it will keep, so later rounds need no other keys."""
+    member = meets.select("key", "node").join(labels, "node")
     spread = member.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min_by(F.struct("node", "comp"), "node").alias("hub")).filter("lo < hi")
-    return member, spread
+    return cut_dense(member.join(spread.select("key", F.col("hub.node").alias("hub"), F.col("hub.comp").alias("hub_comp")), "key"))
 
 
 def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
@@ -247,4 +251,4 @@ def _merged(labels: DataFrame, found: DataFrame) -> DataFrame:
     a, b = (labels.select(F.col("node").alias(x), F.col("comp").alias(f"comp_{x}")) for x in "ab")
     edges = found.join(a, "a").join(b, "b").select("comp_a", "comp_b").distinct()
     linked = connected_components(edges, "comp_a", "comp_b").withColumnRenamed("node", "comp")
-    return cut(labels.join(linked, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
+    return cut_dense(labels.join(linked, "comp", "left").select("node", F.coalesce("component", "comp").alias("comp")))
