@@ -59,3 +59,17 @@ def test_edges(spark):
             assert out.columns == odd.columns
     once = stages.near_dedup(spark, odd, "")
     assert once.filter("doc_id = 10").count() == 1 and {r["doc_id"] for r in once.collect()} >= {1, 2, 3, 4, 6, 8, 9, 10, 11, None}
+
+
+def test_rows_without_an_id_or_with_a_shared_one_are_judged_by_their_texts(spark):
+    docs = corpus(spark).filter("doc_id < 60")
+    for one in (None, 7):
+        same = docs.withColumn("doc_id", F.lit(one).cast("long"))
+        junk = spark.createDataFrame([(one, "too short", "en", "s1", 9), (one, "1 2 3 " * 30, "en", "s1", 9)], COLUMNS)
+        assert stages.quality_rules(spark, same.union(junk), "").count() == 60
+        copies = same.union(same.limit(5)).union(same.limit(5).withColumn("text", F.concat("text", F.lit(" end"))))
+        unique = stages.near_dedup(spark, copies, "")
+        assert unique.count() == 60 and unique.select("text").distinct().count() == 60
+        numbers = spark.createDataFrame([(one, "1 2 3 " * 30, "en", "s1", 9)], COLUMNS)
+        learning = docs.withColumn("doc_id", F.col("doc_id") + 100)
+        assert stages.language_id(spark, learning.union(same.union(numbers)), "").filter(F.col("doc_id").eqNullSafe(F.lit(one))).count() == 60

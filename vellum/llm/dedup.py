@@ -45,6 +45,15 @@ def shingle_set(text: str | None, n: int, table) -> np.ndarray:
     return np.unique(out * _MIX)
 
 
+def text_key():
+    return F.xxhash64("text")
+
+
+def first():
+    """The order of rows for the first one's doc_id and text_key: the smallest id that is not null, then the least digest."""
+    return F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
+
+
 def _coefficients(k: int, seed: int) -> np.ndarray:
     return np.random.Generator(np.random.PCG64(seed)).integers(1, 2**63, size=k, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 
@@ -59,13 +68,13 @@ def signature(hashes: np.ndarray, odd: np.ndarray) -> bytes:
 
 
 def signatures(docs: DataFrame, shingle: int, k: int, seed: int = 1) -> DataFrame:
-    """doc_id, n_shingles, set_key (128-bit digest of the set) and sig of each row."""
+    """doc_id, text_key (digest of the text), n_shingles, set_key (128-bit digest of the set) and sig of each row."""
 
     def make():
         table, odd = word_hashes(), _coefficients(k, seed)
 
         def step(cols):
-            out = {"doc_id": cols["doc_id"], "n_shingles": [], "set_key": [], "sig": []}
+            out = {"doc_id": cols["doc_id"], "text_key": cols["text_key"], "n_shingles": [], "set_key": [], "sig": []}
             for text in cols["text"]:
                 s = shingle_set(text, shingle, table)
                 out["n_shingles"].append(len(s))
@@ -75,7 +84,7 @@ def signatures(docs: DataFrame, shingle: int, k: int, seed: int = 1) -> DataFram
 
         return step
 
-    return map_batches(docs.select("doc_id", "text"), make, "doc_id long, n_shingles long, set_key binary, sig binary")
+    return map_batches(docs.select("doc_id", "text", text_key().alias("text_key")), make, "doc_id long, text_key long, n_shingles long, set_key binary, sig binary")
 
 
 def chunk_keys(nodes: DataFrame, chunks: int, width: int) -> DataFrame:
@@ -136,7 +145,7 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and items (the sorted set's bytes) of the wanted nodes (node, first_id, set_key), from the whole texts of their first rows."""
+    """node and items (the sorted set's bytes) of the wanted nodes (node, first_id, text_key, set_key), from the whole texts of their first rows."""
 
     def make():
         table = word_hashes()
@@ -145,14 +154,15 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
             out = {"node": [], "items": []}
             for node, key, text in zip(cols["node"], cols["set_key"], cols["text"]):
                 s = shingle_set(text, shingle, table).tobytes()
-                if xxhash.xxh3_128_digest(s) == key:  # another row of the same doc_id may have another text
+                if xxhash.xxh3_128_digest(s) == key:
                     out["node"].append(node)
                     out["items"].append(s)
             return out
 
         return step
 
-    texts = docs.select("doc_id", "text").alias("d").join(wanted.alias("w"), F.expr("d.doc_id <=> w.first_id")).select("w.node", "w.set_key", "d.text")
+    # rows of one doc_id, or of none, may have different texts
+    texts = docs.select("doc_id", "text", text_key().alias("text_key")).alias("d").join(wanted.alias("w"), F.expr("d.text_key = w.text_key AND d.doc_id <=> w.first_id")).select("w.node", "w.set_key", "d.text")
     return map_batches(texts, make, "node long, items binary").dropDuplicates(["node"])
 
 
@@ -193,17 +203,24 @@ def _block_links(table: DataFrame, sets: DataFrame, percent: int, block: int) ->
     return every.unionByName(asked).groupBy("cluster", "i", "j").applyInPandas(match, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2, block: int = 256) -> DataFrame:
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (smallest doc_id reachable) and kept (doc_id = component_id) of each row."""
+    out = components(docs, **options)
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
+def components(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2, block: int = 256) -> DataFrame:
+    """doc_id, text_key, n_shingles, comp (the component itself, as ids may be null or shared; null without words) and component_id of each row."""
     k = chunks * width
     rows = cut(signatures(docs, shingle, k))
-    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("first_id"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
+    classes = rows.filter("n_shingles > 0").groupBy("set_key").agg(F.min(first()).alias("first"), F.min("sig").alias("sig"), F.min("n_shingles").alias("n_shingles"))
+    classes = classes.select("set_key", F.col("first.doc_id").alias("first_id"), F.col("first.text_key").alias("text_key"), "sig", "n_shingles")
     nodes = cut(classes.withColumn("node", F.monotonically_increasing_id()))
     keys = chunk_keys(nodes, chunks, width)
     shared = keys.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("hi")).filter("hub < hi").select("key", "hub")
     meets = cut(keys.join(shared, "key"))
     # the sets of those that meet any, by their whole texts
-    wanted = cut_dense(meets.select("node").distinct().join(nodes.select("node", "first_id", "set_key"), "node"))
+    wanted = cut_dense(meets.select("node").distinct().join(nodes.select("node", "first_id", "text_key", "set_key"), "node"))
     sets = cut(_sets(docs, wanted, shingle))
     labels, held = wanted.select("node", F.col("node").alias("comp")), None
     for done in range(rounds):
@@ -233,9 +250,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks
     labels = _merged(labels, cut_dense(found))
     names = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("first_id").alias("component_id"))
-    named = names.join(least, "comp").select("set_key", F.col("component_id"))
+    named = names.join(least, "comp").select("set_key", "comp", "component_id")
     out = rows.join(named, "set_key", "left").withColumn("component_id", F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id")))
-    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+    return out.select("doc_id", "text_key", "n_shingles", "comp", "component_id")
 
 
 def _open_keys(meets: DataFrame, labels: DataFrame) -> DataFrame:
