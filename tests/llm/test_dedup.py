@@ -67,7 +67,7 @@ def test_a_group_of_near_copies_around_one_text(spark):
         for _ in range(rng.randint(1, 5)):
             words[rng.randrange(60)] = f"y{rng.randrange(1000)}"
         docs.append((i, " ".join(words)))
-    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, rounds=1, block=8).collect()
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2, rounds=1, block_shingles=480).collect()
     assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 2, 80)
 
 
@@ -78,3 +78,23 @@ def test_edge_table(spark):
         want = brute([(r["doc_id"], r["text"]) for r in df.collect()], n, 80)
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == want
     assert dedup.near_duplicates(empty_docs(spark)).count() == 0
+
+
+def test_a_large_group_whose_members_are_no_links_of_each_other(spark):
+    """2,000 texts share three quarters of their words with each other but no two are links, so every pair that shares a key has to be held."""
+    rng = random.Random(4)
+    base = [f"x{i}" for i in range(40)]
+    docs = [(i, " ".join(base + [f"y{rng.randrange(10**9)}" for _ in range(9)])) for i in range(2000)]
+    docs += [(5000 + i, docs[i][1] + " z") for i in range(0, 60, 3)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in dedup.near_duplicates(df, shingle=2, block_shingles=20_000).collect()}
+    assert got == {i: i - 5000 if i >= 5000 else i for i, _ in docs}
+
+
+def test_rows_without_an_id_and_rows_of_one_id(spark):
+    """A third of the rows have no id and another third one id; each keeps the component of its own text."""
+    rng = random.Random(8)
+    texts = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(30)) for _ in range(40)]
+    docs = [(i, t) for i, t in enumerate(texts)] + [(None, t + " more") for t in texts] + [(7, t + " most") for t in texts]
+    got = dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"), shingle=2).collect()
+    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in got), key=repr) == brute(docs, 2, 80)

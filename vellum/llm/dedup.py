@@ -6,12 +6,14 @@ differ. Each chunk is indexed once for each place the error may have, by the val
 distance meet under a key. With 12 chunks of 6, all pairs up to distance 23 of 72 meet; of pairs with a similarity of just
 0.8, whose mean distance is 14.4, one in 350,000 meets under no key (those over distance 23 mostly do meet).
 
-Copies (equal sets) are one node. Pairs are not enumerated within a key: in each of two rounds a node is held against the one node,
-of another component, that is the hub of most of its keys, and what is confirmed joins components. What keys still part
-is held in full: nodes are put into clusters around the least nodes near them; inside a cluster, the rows outside its largest component are held
-against all of its rows in blocks, on full sets, and only links leave a task; pairs of different clusters that share a key are held one by one.
-So no link between components is lost, and links inside one, which change nothing, are not looked for. The blocks' work still grows with
-a group of near copies that are no links of each other times the group, as the comparison asks; its rows don't.
+Copies (equal sets) are one node. Pairs are never rows: in each of two rounds a node is held against the one node,
+of another component, that is the hub of most of its keys, and what is confirmed joins components. Keys that then still part components
+are put into bundles, each key into one (that of the least hub near it), and a node belongs to the bundles of all of its keys, so any two nodes
+that share such a key meet in a bundle. There the rows outside the bundle's largest component are held against all of its rows,
+block by block, on full sets and without any estimate; a task gives back no more links than join the components it has seen.
+So no link between components is lost, and links inside one, which change nothing, are not looked for. The blocks' comparisons grow with
+a group of near copies that are no links of each other times the group, as the question asks; the rows that leave a task don't.
+A row is sent to a block once for each ``block_shingles`` shingles that it has to be held against.
 
 Defined results: null text and text without words have an empty set, n_shingles 0, and are linked with nothing; a text
 with fewer words than the shingle's has its whole sequence as one shingle; repeated rows are each a row of the result; rows
@@ -123,8 +125,8 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 def _near(pairs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame:
-    """Drops pairs that can't be links: by their sets' sizes, and by a signature distance more than six deviations over the mean of the least
-    similarity (fewer than one link in 100 million)."""
+    """Leaves out pairs with a hub that are hardly links: by their sets' sizes, and by a signature distance more than six deviations over the mean of
+    the least similarity. This only spares the rounds work: what it leaves out keeps its keys open and is held in the blocks."""
     miss = 1 - percent / 100
     most = k * miss + 6 * (k * miss * (1 - miss)) ** 0.5
     side = nodes.select("node", "n_shingles", "sig")
@@ -144,8 +146,13 @@ def _near(pairs: DataFrame, nodes: DataFrame, percent: int, k: int) -> DataFrame
     return map_batches(joined.select("a", "b", "sa", "sb"), make, "a long, b long")
 
 
+def _id_key(doc_id: str):
+    return F.xxhash64(F.col(doc_id), F.col(doc_id).isNull(), F.lit("id"))
+
+
 def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
-    """node and items (the sorted set's bytes) of the wanted nodes (node, first_id, text_key, set_key), from the whole texts of their first rows."""
+    """node and items (the sorted set's bytes) of the wanted nodes (node, first_id, text_key, set_key), from the whole texts of their first rows.
+    Of rows that share id and text one is read; the join has put them side by side already."""
 
     def make():
         table = word_hashes()
@@ -161,46 +168,62 @@ def _sets(docs: DataFrame, wanted: DataFrame, shingle: int) -> DataFrame:
 
         return step
 
-    # rows of one doc_id, or of none, may have different texts
-    texts = docs.select("doc_id", "text", text_key().alias("text_key")).alias("d").join(wanted.alias("w"), F.expr("d.text_key = w.text_key AND d.doc_id <=> w.first_id")).select("w.node", "w.set_key", "d.text")
-    return map_batches(texts, make, "node long, items binary").dropDuplicates(["node"])
+    texts = docs.select(text_key().alias("text_key"), _id_key("doc_id").alias("id_key"), "text")
+    firsts = wanted.select("text_key", _id_key("first_id").alias("id_key"), "node", "set_key")
+    return map_batches(texts.join(firsts, ["text_key", "id_key"]).dropDuplicates(["text_key", "id_key"]).select("node", "set_key", "text"), make, "node long, items binary")
+
+
+def _bundles(still: DataFrame) -> DataFrame:
+    """(bundle, node, comp) from open keys (key, node, comp, hub): a key's bundle is the least hub of the keys of its nodes."""
+    least = still.groupBy("node").agg(F.min("hub").alias("least"))
+    owner = still.select("key", "node").join(least, "node").groupBy("key").agg(F.min("least").alias("bundle"))
+    return cut_dense(still.select("key", "node", "comp").join(owner, "key").select("bundle", "node", "comp").distinct())
 
 
-def _block_links(table: DataFrame, sets: DataFrame, percent: int, block: int) -> DataFrame:
-    """Links (a, b) between different components of each cluster, from (node, cluster, comp). A cluster's rows outside its largest component are held
-    against all of its rows, in blocks of about ``block`` by ``block``; a task counts the common shingles of a block pair from a sorted index and
-    gives nothing but links, so no pair becomes a row."""
-    sizes = table.groupBy("cluster", "comp").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.sum("n").alias("n"), F.max("n").alias("largest"), F.max_by("comp", F.struct("n", "comp")).alias("main"))
-    sizes = sizes.filter("n > largest").select("cluster", "main", F.ceil(F.col("n") / block).alias("blocks"), F.ceil((F.col("n") - F.col("largest")) / block).alias("outer"))
-    rows = table.join(sizes, "cluster").join(sets, "node")
+def _block_links(members: DataFrame, nodes: DataFrame, sets: DataFrame, percent: int, block_shingles: int) -> DataFrame:
+    """Links (a, b) between different components of each bundle. A bundle's rows outside its largest component are held against all of its rows, in
+    blocks of about ``block_shingles`` shingles on each side; a task counts the common shingles of a block pair from a sorted index, joins components
+    as it finds links, and gives only those that joined two."""
+    sized = members.join(nodes.select("node", "n_shingles"), "node")
+    by_comp = sized.groupBy("bundle", "comp").agg(F.count("*").alias("n"), F.sum("n_shingles").alias("w"))
+    sizes = by_comp.groupBy("bundle").agg(F.sum("w").alias("w"), F.count("*").alias("comps"), F.max_by(F.struct("comp", F.col("w").alias("w")), F.struct("w", "comp")).alias("main"))
+    blocks = lambda w: F.ceil(w / block_shingles)
+    sizes = sizes.filter("comps > 1").select("bundle", F.col("main.comp").alias("main"), blocks(F.col("w")).alias("blocks"), blocks(F.col("w") - F.col("main.w")).alias("outer"))
+    rows = members.join(sizes, "bundle").join(sets, "node")
     here = lambda name, n: F.pmod(F.xxhash64("node", F.lit(name)), F.col(n))
-    every = rows.select("cluster", here("i", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("j"), F.lit(False).alias("asks"), "node", "comp", "items")
-    asked = rows.filter("comp <> main").select("cluster", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), here("j", "outer").alias("j"), F.lit(True).alias("asks"), "node", "comp", "items")
+    every = rows.select("bundle", here("i", "blocks").alias("i"), F.explode(F.sequence(F.lit(0), F.col("outer") - 1)).alias("j"), F.lit(False).alias("asks"), "node", "comp", "items")
+    asked = rows.filter("comp <> main").select("bundle", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("i"), here("j", "outer").alias("j"), F.lit(True).alias("asks"), "node", "comp", "items")
 
     def match(pdf):
         import pandas as pd
 
         out = {"a": [], "b": []}
-        ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]]
-        if len(ask) and len(have):
-            items = [np.frombuffer(x, "<u8") for x in have["items"]]
+        asks = pdf["asks"].to_numpy()
+        _, comp = np.unique(pdf["comp"].to_numpy(), return_inverse=True)
+        node, held = pdf["node"].to_numpy(), np.flatnonzero(~asks)
+        if asks.any() and len(held):
+            items = [np.frombuffer(x, "<u8") for x in pdf["items"].to_numpy()[held]]
             n = np.array([len(x) for x in items])
             tokens, owner = np.concatenate(items), np.repeat(np.arange(len(n)), n)
             order = np.argsort(tokens, kind="stable")
             tokens, owner = tokens[order], owner[order]
-            node, comp = have["node"].to_numpy(), have["comp"].to_numpy()
-            for a, of, x in zip(ask["node"], ask["comp"], ask["items"]):
+            for row, x in zip(np.flatnonzero(asks), pdf["items"].to_numpy()[asks]):
+                if (comp[held] == comp[row]).all():
+                    continue
                 x = np.frombuffer(x, "<u8")
                 lo, hi = np.searchsorted(tokens, x, "left"), np.searchsorted(tokens, x, "right")
-                long = hi - lo
-                at = np.repeat(lo - np.cumsum(long) + long, long) + np.arange(long.sum())
+                many = hi - lo
+                at = np.repeat(lo - np.cumsum(many) + many, many) + np.arange(many.sum())
                 both = np.bincount(owner[at], minlength=len(n))
-                for b in node[(100 * both >= percent * (len(x) + n - both)) & (comp != of)].tolist():
-                    out["a"].append(min(a, b))
-                    out["b"].append(max(a, b))
+                hits = held[100 * both >= percent * (len(x) + n - both)]
+                for hit in hits[np.unique(comp[hits], return_index=True)[1]]:
+                    if comp[hit] != comp[row]:
+                        out["a"].append(min(node[row], node[hit]))
+                        out["b"].append(max(node[row], node[hit]))
+                        comp[comp == comp[hit]] = comp[row]
         return pd.DataFrame(out, dtype="int64")
 
-    return every.unionByName(asked).groupBy("cluster", "i", "j").applyInPandas(match, "a long, b long")
+    return every.unionByName(asked).groupBy("bundle", "i", "j").applyInPandas(match, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, **options) -> DataFrame:
@@ -209,7 +232,7 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def components(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2, block: int = 256) -> DataFrame:
+def components(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int = 12, width: int = 6, rounds: int = 2, block_shingles: int = 1 << 17) -> DataFrame:
     """doc_id, text_key, n_shingles, comp (the component itself, as ids may be null or shared; null without words) and component_id of each row."""
     k = chunks * width
     rows = cut(signatures(docs, shingle, k))
@@ -235,19 +258,8 @@ def components(docs: DataFrame, shingle: int = 5, percent: int = 80, chunks: int
         pairs = cut_dense(pairs.groupBy("b").agg(F.max_by("a", F.struct("n", -F.col("a"))).alias("a")).select("a", "b"))
         held = pairs if held is None else held.union(pairs)
         labels = _merged(labels, cut_dense(_confirmed(_near(pairs, nodes, percent, k), sets, percent)))
-    # what is left: rows of one cluster in blocks, and pairs of different clusters that share a key
-    still = _open_keys(meets, labels).select("key", "node", "comp")
-    cluster = still.select("node", F.col("node").alias("cluster")).distinct()
-    for _ in range(2):
-        least = still.join(cluster, "node").groupBy("key").agg(F.min("cluster").alias("least"))
-        cluster = cut_dense(still.join(least, "key").groupBy("node").agg(F.min("least").alias("cluster")))
-    placed = still.join(cluster, "node")
-    other = placed.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"), F.col("cluster").alias("cluster_b"))
-    pairs = placed.withColumnRenamed("node", "a").join(other, "key").filter("a < b AND comp <> comp_b AND cluster <> cluster_b").select("a", "b").distinct()
-    pairs = cut_dense(pairs.join(held, ["a", "b"], "left_anti"))
-    found = _confirmed(_near(pairs, nodes, percent, k), sets, percent)
-    found = found.union(_block_links(labels.join(cluster, "node"), sets, percent, block))
-    labels = _merged(labels, cut_dense(found))
+    members = _bundles(_open_keys(meets, labels))
+    labels = _merged(labels, cut_dense(_block_links(members, nodes, sets, percent, block_shingles)))
     names = nodes.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
     least = names.groupBy("comp").agg(F.min("first_id").alias("component_id"))
     named = names.join(least, "comp").select("set_key", "comp", "component_id")
