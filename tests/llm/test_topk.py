@@ -29,7 +29,7 @@ def test_against_brute_force(spark):
     rows += [(601, None, "x", 1), (602, [], "x", 1), (603, [None] * 16, "x", 1), (650, [float("nan")] * 16, "x", 1), (700, [float("inf")] * 16, "x", 1), (None, m[3].tolist(), "x", 1), (750, [0.5], "x", 1)]
     want = brute([(i, v) for i, v, *_ in rows if i != 750], 5)
     assert found(spark, rows) == want
-    assert found(spark, rows, shard_rows=100, block=4, rescore=1) == want
+    assert found(spark, rows, shard_rows=40, block=4, rescore=1, width=3) == want
 
 
 def test_few_and_none(spark):
@@ -44,7 +44,17 @@ def test_early_stop_is_exact():
     m[:20] *= 4
     index = topk.ImpactIndex(np.arange(3000), m, 8)
     for q in (0, 5, 77, 2999):
-        ids, scores = index.search(m[q], q, 5, 64)
+        ids, scores = index.search(m[q : q + 1], np.array([q]), 5, 64)[0]
         exact = m @ m[q]
         best = sorted(((-s, i) for i, s in enumerate(exact) if i != q))[:5]
         assert list(zip(ids.tolist(), scores.tolist())) == [(i, -s) for s, i in best]
+
+
+def test_bars_of_earlier_shards_leave_out_what_cannot_win():
+    rng = np.random.default_rng(3)
+    m = np.floor(rng.normal(size=(500, 32)) * 30).astype(np.int64)
+    index = topk.ImpactIndex(np.arange(500), m, 8)
+    exact = np.sort(m @ m[9])[::-1]
+    for bar, n in ((exact[3], 3), (exact[0] + 1, 0), (-(2**62), 5)):
+        ids, scores = index.search(m[9:10], np.array([9]), 5, 1, np.array([bar]))[0]
+        assert scores.tolist() == exact[1 : n + 1].tolist()

@@ -1,13 +1,17 @@
 """Exact top-k by inner product over an impact-ordered, score-at-a-time index.
 
-Candidates are dealt into shards of at most ``shard_rows`` rows. A shard's index holds, for each dimension, posting segments by
-quantised value (steps of ``step``); for a query, segments are taken by descending impact (query component times
-level), and add their impact to their rows' accumulators. A row's score lies within its accumulator plus what the segments not yet
-taken can still add or take (the sum over dimensions of the largest and least impact left), plus its quantisation error
-(by Cauchy-Schwarz, the query's norm times the row's residual norm). After each wave of segments the k-th largest lower bound is
-compared with the upper bounds; the shard stops when no more than ``rescore`` rows can still be members, or when the
-segments end. All rows whose upper bound reaches the k-th lower bound, ties included, are then scored exactly; their number has no cap.
-Each shard gives k rows a query at most, and a window over (query) takes the k best of the shards.
+Candidates are dealt row by row into shards of about ``shard_rows`` rows, each a partition that is written down once. A shard's index holds, for each
+dimension, posting segments by quantised value (steps of ``step``). Queries meet it ``width`` at a time: segments are taken by descending impact (the
+level times the largest of the queries' components) and add each query's impact to their rows' accumulators. A row's score lies
+within its accumulator plus what the segments not yet taken can still add or take (the sum over dimensions of the largest and least
+impact left), plus its quantisation error (by Cauchy-Schwarz, the query's norm times the row's residual norm). After each wave
+of segments the k-th largest lower bound, or the k-th best score of shards searched before if that is higher, is compared with the upper bounds; a query stops when no more than
+``rescore`` rows can still be members, or when the segments end. All rows whose upper bound reaches the bar, ties included, are then
+scored exactly; their number has no cap.
+
+Vectors are never shuffled to meet queries: queries go to all shards in blocks of about ``block`` (so a broadcast has a bound: ``block`` vectors), and shards are searched in rounds, first as
+many as there are cores, then as many as were searched before. A round's k-th best scores are the next one's bar, so that a query gets about k rows a round
+and not k a shard: what is shuffled grows with the queries times the logarithm of the shards.
 
 Defined results: vectors that are null, empty, of another length than the majority by count (smaller length on ties), or with null or non-finite components
 take no part, as queries or candidates; rows without an id take no part as queries and are no one's result; repeated ids are rows
@@ -32,47 +36,59 @@ class ImpactIndex:
         levels = np.floor_divide(vectors + step // 2, step)
         residual = (vectors - levels * step).astype(np.float64)
         self.error = np.sqrt((residual**2).sum(axis=1))
-        dims, values, rows, bounds = [], [], [], [0]
+        self.dims, self.values, self.rows = [], [], []
         for d in range(vectors.shape[1]):
-            order = np.argsort(levels[:, d], kind="stable")
+            order = np.argsort(levels[:, d], kind="stable").astype(np.int32)
             v, at = np.unique(levels[order, d], return_index=True)
-            dims += [d] * len(v)
-            values += v.tolist()
-            bounds += [d * len(order) + x for x in [*at[1:].tolist(), len(order)]]
-            rows.append(order.astype(np.int32))
-        self.dims, self.values = np.array(dims), np.array(values)
-        self.rows, self.bounds = np.concatenate(rows), np.array(bounds)
-
-    def search(self, query: np.ndarray, own: int, k: int, rescore: int, waves: int = 8) -> tuple[np.ndarray, np.ndarray]:
-        impact = query[self.dims] * self.values * self.step
-        order = np.argsort(-np.abs(impact), kind="stable")
-        order = order[impact[order] != 0]
-        n, norm = len(self.ids), float(np.sqrt((query.astype(np.float64) ** 2).sum()))
-        acc = np.zeros(n, np.int64)
-        slack = norm * self.error + 1e-6
-        takes_part = self.ids != own
-        kth, d = min(k, int(takes_part.sum())), self.vectors.shape[1]
-        if not kth:
-            return np.empty(0, np.int64), np.empty(0, np.int64)
-        ends = np.unique(np.linspace(0, len(order), waves + 1).astype(int)[1:]) if len(order) else np.array([0])
+            for value, rows in zip(v.tolist(), np.split(order, at[1:])):
+                if value:  # the segment of level 0 adds nothing
+                    self.dims.append(d)
+                    self.values.append(value * step)
+                    self.rows.append(rows)
+        self.dims, self.values = np.array(self.dims, np.int64), np.array(self.values, np.int64)
+
+    def search(self, queries: np.ndarray, own: np.ndarray, k: int, rescore: int, bars: np.ndarray | None = None, waves: tuple[float, ...] = (0.5, 0.8, 1.0)) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query (a row; ``own`` its id) the ids and scores of its k best rows, less those under its bar. ``waves``: shares of the postings after which to look."""
+        q = queries.astype(np.float64)
+        order = np.argsort(-np.abs(self.values) * np.abs(q).max(axis=0)[self.dims], kind="stable")
+        taken = np.cumsum([len(self.rows[s]) for s in order.tolist()])
+        acc = np.zeros((len(self.ids), len(q)))
+        norm, open_, out = np.sqrt((q**2).sum(axis=1)), list(range(len(q))), [None] * len(q)
         at = 0
-        for end in ends:
+        for share in waves:
+            end = int(np.searchsorted(taken, share * taken[-1])) + 1 if len(taken) and share < 1 else len(order)
             for s in order[at:end].tolist():
-                acc[self.rows[self.bounds[s] : self.bounds[s + 1]]] += impact[s]
+                acc[self.rows[s]] += q[:, self.dims[s]] * self.values[s]
             at = end
             left = order[at:]
-            up, down = np.zeros(d, np.int64), np.zeros(d, np.int64)
-            np.maximum.at(up, self.dims[left], impact[left])
-            np.minimum.at(down, self.dims[left], impact[left])
-            high, low = acc + slack + up.sum(), acc - slack + down.sum()
-            bar = np.partition(low[takes_part], -kth)[-kth]
-            may = takes_part & (high >= bar)
-            if at >= len(order) or int(may.sum()) <= rescore:
+            most, least = np.zeros(q.shape[1]), np.zeros(q.shape[1])
+            np.maximum.at(most, self.dims[left], self.values[left])
+            np.minimum.at(least, self.dims[left], self.values[left])
+            up, down = np.maximum(q * most, q * least).sum(axis=1), np.minimum(q * most, q * least).sum(axis=1)
+            for i in list(open_):
+                takes_part = self.ids != own[i]
+                here = min(k, int(takes_part.sum()))
+                if not here:
+                    out[i] = (np.empty(0, np.int64), np.empty(0, np.int64))
+                else:
+                    slack = norm[i] * self.error + 1e-6 * (1 + norm[i])
+                    low = (acc[:, i] - slack + down[i])[takes_part]
+                    bar = np.partition(low, -here)[-here]
+                    if bars is not None:
+                        bar = max(bar, bars[i])
+                    may = takes_part & (acc[:, i] + slack + up[i] >= bar)
+                    if at < len(order) and int(may.sum()) > rescore:
+                        continue
+                    may = np.flatnonzero(may)
+                    exact = self.vectors[may] @ queries[i]
+                    if bars is not None:
+                        may, exact = may[exact >= bars[i]], exact[exact >= bars[i]]
+                    best = np.lexsort((self.ids[may], -exact))[:k]
+                    out[i] = (self.ids[may][best], exact[best])
+                open_.remove(i)
+            if not open_:
                 break
-        may = np.flatnonzero(may)
-        exact = self.vectors[may] @ query
-        best = np.lexsort((self.ids[may], -exact))[:k]
-        return self.ids[may][best], exact[best]
+        return out
 
 
 def integer_vectors(rows: DataFrame, vec_id: str, embedding: str, scale: int) -> DataFrame:
@@ -84,36 +100,55 @@ def integer_vectors(rows: DataFrame, vec_id: str, embedding: str, scale: int) ->
     return whole.filter(F.size("v") == (width["n"] if width else 0))
 
 
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 20_000, block: int = 2_000, step: int = 8, rescore: int = 64) -> DataFrame:
-    """query_id, rank, vec_id, score. ``vectors`` and ``queries``: (vec_id, v) as ``integer_vectors`` gives them. Queries meet the shards in blocks of ``block``."""
+def _matrix(table: pa.Table | pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+    ids = table.column("vec_id").to_numpy()
+    flat = table.column("v")
+    flat = flat.combine_chunks() if isinstance(flat, pa.ChunkedArray) else flat
+    return ids, np.asarray(flat.flatten(), np.int64).reshape(len(ids), -1)
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, shard_rows: int = 8192, block: int = 20_000, step: int = 8, rescore: int = 64, width: int = 32) -> DataFrame:
+    """query_id, rank, vec_id, score. ``vectors`` and ``queries``: (vec_id, v) as ``integer_vectors`` gives them."""
     vectors, queries = cut(vectors), cut(queries)
-    n_rows, n_queries = vectors.count(), queries.count()
-    shards, blocks = max(1, -(-n_rows // shard_rows)), max(1, -(-n_queries // block))
-    # rows are dealt by what they hold too, so that one id with very many rows fills no shard
-    place = F.pmod(F.xxhash64("vec_id", "v"), F.lit(shards)).cast("int")
-    part = F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(blocks)).cast("int")
-    rows = vectors.select(place.alias("shard"), F.lit(None).cast("int").alias("block"), "vec_id", "v")
-    asked = queries.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), part.alias("block"), "vec_id", "v")
-    both = rows.select("shard", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), "vec_id", "v", F.lit(False).alias("asks")).unionByName(asked.withColumn("asks", F.lit(True)))
-
-    def run(table: pa.Table) -> pa.Table:
-        asks = table.column("asks").to_numpy(zero_copy_only=False)
-        ids = table.column("vec_id").to_numpy()
-        flat = table.column("v").combine_chunks()
-        m = np.asarray(flat.values if not hasattr(flat, "chunks") else flat.flatten()).reshape(len(ids), -1)
-        out = {"query_id": [], "vec_id": [], "score": []}
-        if asks.any() and not asks.all():
-            index = ImpactIndex(ids[~asks], m[~asks], step)
-            for q, v in zip(ids[asks].tolist(), m[asks]):
-                found, scores = index.search(v, q, k, rescore)
-                out["query_id"] += [q] * len(found)
-                out["vec_id"] += found.tolist()
-                out["score"] += scores.tolist()
-        return pa.table({c: pa.array(v, pa.int64()) for c, v in out.items()})
-
-    found = both.groupBy("shard", "block").applyInArrow(run, "query_id long, vec_id long, score long")
+    context = vectors.sparkSession.sparkContext
+    shards, blocks = max(1, -(-vectors.count() // shard_rows)), max(1, -(-queries.count() // block))
+    # dealt by row, so that one id or vector with very many rows fills no shard and no block
+    dealt, queries = (cut(rows.repartition(n).withColumn("part", F.spark_partition_id())) for rows, n in ((vectors, shards), (queries, blocks)))
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))
-    return found.withColumn("rank", rank).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    done = []
+    for number in range(blocks):
+        asked = queries.filter(F.col("part") == number).toArrow()
+        best, bars, first = None, None, 0
+        while first < shards and asked.num_rows:
+            end = first + max(context.defaultParallelism, first)
+            shared = context.broadcast((*_matrix(asked), bars))
+
+            def run(batches, shared=shared):
+                rows = [b for b in batches if b.num_rows]
+                if not rows:
+                    return
+                own, q, bars = shared.value
+                index = ImpactIndex(*_matrix(pa.Table.from_batches(rows)), step)
+                for at in range(0, len(own), width):
+                    part = slice(at, at + width)
+                    found = index.search(q[part], own[part], k, rescore, None if bars is None else bars[part])
+                    cols = (np.repeat(own[part], [len(i) for i, _ in found]), np.concatenate([i for i, _ in found]), np.concatenate([s for _, s in found]))
+                    yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in cols], names=["query_id", "vec_id", "score"])
+
+            found = dealt.filter(F.col("part").between(first, end - 1)).mapInArrow(run, "query_id long, vec_id long, score long")
+            found = found if best is None else best.select("query_id", "vec_id", "score").unionByName(found)
+            best = cut(found.withColumn("rank", rank).filter(F.col("rank") <= k))
+            first = end
+            if first < shards:
+                last = {r["query_id"]: r["score"] for r in best.filter(F.col("rank") == k).select("query_id", "score").collect()}
+                bars = np.array([last.get(i, -(2**62)) for i in asked.column("vec_id").to_pylist()], np.int64)
+        if best is not None:
+            done.append(best)
+    empty = vectors.sparkSession.createDataFrame([], "query_id long, vec_id long, score long, rank int")
+    out = empty
+    for best in done:
+        out = out.unionByName(best)
+    return out.select("query_id", "rank", "vec_id", "score")
 
 
 #: The query in DuckDB's SQL.
