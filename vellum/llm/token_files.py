@@ -2,8 +2,9 @@
 
 A token file is nothing but ids of one width, each document's ended by a separator id. ``scan`` plans blocks of a fixed
 number of tokens from the files' sizes, searches each block for separators with one vectorised comparison, and stitches the documents
-that cross blocks with a prefix scan over the blocks of a file: how many separators came before, and where the last one was. One row a block
-is shuffled, with its separators' places; no task holds more than a block of tokens.
+that cross blocks with a prefix scan over the blocks of a file: how many separators came before, and where the last one was. The scan's window reads
+three numbers a block (a file of a terabyte has half a million blocks); the separators' places stay in rows by block and meet the scan's result in a join
+by file and block. No task holds more than a block of tokens.
 
 ``write`` makes such files from texts: one a task attempt, under names of their own, so that what a lost or repeated attempt wrote is never
 read; only the files that finished tasks report count. Files are read and written by URI with pyarrow's file systems.
@@ -83,14 +84,14 @@ def scan(files: DataFrame, separator: int = 49_407, dtype: str = "<u2", block_to
     found = cut(blocks.repartition("file", "block").mapInArrow(run, "file string, bytes long, block long, ends array<long>"))
     # the prefix scan: separators before a block, and the last of them
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    some = F.size("ends") > 0
-    carried = F.coalesce(F.max(F.when(some, F.element_at("ends", -1))).over(before), F.lit(-1))
-    base = F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0))
-    rows = found.withColumn("last", carried).withColumn("base", base)
+    short = found.select("file", "bytes", "block", F.size("ends").alias("n"), F.when(F.size("ends") > 0, F.element_at("ends", -1)).alias("end"))
+    carried = F.coalesce(F.max("end").over(before), F.lit(-1))
+    base = F.coalesce(F.sum("n").over(before), F.lit(0))
+    rows = found.join(short.select("file", "block", carried.alias("last"), base.alias("base")), ["file", "block"])
     closed = rows.select("file", "base", "last", "ends", F.posexplode("ends").alias("i", "end")).select(
         "file", (F.col("base") + F.col("i")).alias("ordinal"), (F.when(F.col("i") == 0, F.col("last")).otherwise(F.get("ends", F.col("i") - 1)) + 1).alias("start"), "end", F.lit(True).alias("terminated")
     )
-    whole = found.groupBy("file", "bytes").agg(F.coalesce(F.max(F.when(some, F.element_at("ends", -1))), F.lit(-1)).alias("last"), F.sum(F.size("ends")).alias("n"))
+    whole = short.groupBy("file", "bytes").agg(F.coalesce(F.max("end"), F.lit(-1)).alias("last"), F.sum("n").alias("n"))
     size = (F.col("bytes") / width).cast("long")
     tail = whole.filter(F.col("last") + 1 < size).select("file", F.col("n").alias("ordinal"), (F.col("last") + 1).alias("start"), size.alias("end"), F.lit(False).alias("terminated"))
     return closed.unionByName(tail).select("file", "ordinal", "start", (F.col("end") - F.col("start")).alias("n_tokens"), "terminated")
