@@ -1,6 +1,7 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vellum.llm import packing
@@ -71,3 +72,19 @@ def test_levels_lose_nothing_and_stay_near_the_bound(spark):
 def test_best_fit_is_best_fit():
     assert packing.best_fit([6, 5, 5, 4], 10) == [[0, 3], [1, 2]]
     assert packing.best_fit([], 10) == []
+
+
+def test_too_many_underfull_sequences_for_fewer_partitions(spark):
+    """Most documents are over half a sequence, so no level gets by with fewer partitions; the small ones still meet."""
+    docs = {i: "word " * (20 if i % 10 else 2) for i in range(400)}
+    pieces = packing.tokenize_pieces(spark.createDataFrame(list(docs.items()), "doc_id long, text string"), capacity=32)
+    n = check(packing.pack(pieces, 32, items_per_task=40, fan_in=3).collect(), docs, 32)
+    assert 360 <= n <= 360 + 10
+
+
+def test_copies_of_one_row_are_dealt_out(spark):
+    pieces = spark.range(3000).select(F.lit(1).cast("long").alias("doc_id"), F.lit(0).alias("piece"), F.lit(0).cast("long").alias("start"), F.lit(7).cast("long").alias("length"), F.lit(5).cast("long").alias("ids_crc32"))
+    seen = packing.pack(pieces, 32, items_per_task=500)
+    assert seen.count() == 3000 and seen.select("sequence_id").distinct().count() <= 756
+    sizes = [len(p) for p in packing.dealt_evenly(pieces, 6, 1).rdd.glom().collect()]
+    assert max(sizes) < 2 * 3000 / 6

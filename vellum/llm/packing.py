@@ -2,12 +2,16 @@
 
 1. ``tokenize_pieces`` encodes each whole text, ends it with a separator id and cuts only longer documents, into
    pieces of the capacity; the last piece may be shorter.
-2. Pieces of exactly the capacity are sequences already. The others are dealt by a hash and packed best-fit decreasing
+2. Pieces of exactly the capacity are sequences already. The others are dealt row by row and packed best-fit decreasing
    inside each partition; sequences filled up to ``nearly_full`` are emitted.
 3. Underfull sequences travel as single items, a list of pieces each (at most ``capacity`` of them, for each has a
    token), to fewer partitions, and are packed again, level by level, until one task's worth is left; that last level
    emits everything. The number of partitions follows the number of items, so that no task gets more than
-   ``items_per_task`` while there is more; when a level has merged next to nothing, its sequences are emitted as they are.
+   about ``items_per_task`` of them.
+4. Best fit opens a sequence only for what fits into no other, so any two sequences of one partition hold more than the capacity together: at
+   most one of them is filled by half or less, and no two that are filled by more can ever merge. Where a level leaves too many
+   underfull sequences for fewer partitions, those over half are therefore emitted, and the others, at most one a partition, go on.
+   That costs at most one sequence for each partition of such a level, about one in ``items_per_task`` items.
 
 Every level is written to the shared checkpoint folder before the next reads it, so a lost executor can't give a part of a
 level other sequences than the rest.
@@ -106,7 +110,7 @@ def _pack_level(items: DataFrame, capacity: int, keep_full: int, level: int) ->
         base = (level << 52) | (TaskContext.get().partitionId() << 32)
         bins = best_fit([int(r[0]) for r in rows], capacity)
         for at in range(0, len(bins), 2000):
-            out = {"sequence_id": [], "fill": [], "done": [], "n_items": [], "members": []}
+            out = {"sequence_id": [], "fill": [], "done": [], "members": []}
             for number, chosen in enumerate(bins[at : at + 2000], at):
                 fill, members = 0, []
                 for item in chosen:
@@ -116,14 +120,18 @@ def _pack_level(items: DataFrame, capacity: int, keep_full: int, level: int) ->
                 out["sequence_id"].append(base | number)
                 out["fill"].append(fill)
                 out["done"].append(fill >= keep_full)
-                out["n_items"].append(len(chosen))
                 out["members"].append(members)
             yield pd.DataFrame(out)
 
-    schema = f"sequence_id long, fill long, done boolean, n_items int, members {_MEMBERS}"
+    schema = f"sequence_id long, fill long, done boolean, members {_MEMBERS}"
     return items.select("fill", "members").mapInPandas(run, schema)
 
 
+def dealt_evenly(items: DataFrame, parts: int, level: int) -> DataFrame:
+    """Rows, written down already, dealt by a digest of their place: equal rows don't meet."""
+    return items.withColumn("at", F.monotonically_increasing_id()).repartition(parts, F.xxhash64("at", F.lit(level)))
+
+
 def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.999, items_per_task: int = 50_000, fan_in: int = 8) -> DataFrame:
     """Adds sequence_id and offset to the rows of ``tokenize_pieces``."""
     keep_full = max(1, int(capacity * nearly_full))
@@ -138,18 +146,17 @@ def pack(pieces: DataFrame, capacity: int = 2048, nearly_full: float = 0.999, it
     level, done = 1, []
     while count:
         last = parts == 1
-        first = F.col("members")[0]
-        dealt = items.repartition(parts, F.xxhash64(first["doc_id"], first["piece"], first["ids_crc32"], F.lit(level)))
-        packed = cut(_pack_level(dealt, capacity, 0 if last else keep_full, level))
+        packed = cut(_pack_level(dealt_evenly(items, parts, level), capacity, 0 if last else keep_full, level))
         done.append(packed.filter("done"))
-        items = packed.filter("not done").select("fill", "members")
-        made, left, merged = packed.agg(F.count("*"), F.count_if(~F.col("done")), F.count_if(F.col("n_items") > 1)).first()
+        under = packed.filter("not done")
+        left, half = packed.agg(F.count_if(~F.col("done")), F.count_if(~F.col("done") & (2 * F.col("fill") <= capacity))).first()
         if last or not left:
             break
-        if merged < 0.001 * made:
-            done.append(packed.filter("not done"))
-            break
-        count, parts, level = left, max(1, min(parts // fan_in, -(-left // items_per_task)), -(-left // items_per_task)), level + 1
+        fewer = max(1, min(parts // fan_in, -(-left // items_per_task)), -(-left // items_per_task))
+        if fewer >= parts:  # too many over half to go on together
+            done.append(under.filter(2 * F.col("fill") > capacity))
+            under, left, fewer = under.filter(2 * F.col("fill") <= capacity), half, max(1, -(-half // items_per_task))
+        items, count, parts, level = under.select("fill", "members"), left, fewer, level + 1
     out = full
     for d in done:
         out = out.unionByName(d.select("sequence_id", F.inline("members")).select(*cols, "sequence_id", "offset"))
