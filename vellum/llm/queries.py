@@ -45,8 +45,7 @@ def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    dictionaries = language.learn(docs.filter(~language.held_out(F.col("doc_id"))))
-    found = language.classify(docs, dictionaries)
+    found = language.classify(docs, language.learn(docs.filter(~language.held_out(F.col("doc_id")))))
     return found.select("doc_id", language.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "rejected")
 
 
