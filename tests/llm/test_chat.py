@@ -48,6 +48,10 @@ def test_layouts(spark):
         "prompt_system": {"system": "s", "prompt": "q", "response": "a"},
         "question": {"question": "q", "answer": "a"},
         "turn_row": {"role": "user", "text": "q"},
+        "messages_named": {"messages": [{"role": "user", "content": "q", "name": "n"}]},
+        "messages_id": {"id": "x", "messages": [{"role": "user", "content": "q"}]},
+        "messages_none": {"messages": []},
+        "share_none": {"conversations": []},
         None: {"something": {"else": [1, 2]}},
     }
     df = spark.createDataFrame([(str(k), json.dumps(v)) for k, v in records.items()], "name string, j string").withColumn("record", F.parse_json("j"))
@@ -56,7 +60,14 @@ def test_layouts(spark):
     assert got["messages"][1] == [("user", "q"), ("assistant", None)]
     assert got["share"][1] == [("user", "q"), ("assistant", "a")]
     assert got["prompt_system"][1] == [("system", "s"), ("user", "q"), ("assistant", "a")]
-    assert got["None"][1] == []
+    assert got["None"][1] == got["messages_none"][1] == got["share_none"][1] == []
+    assert got["messages_named"][1] == [("user", "q")]
+    # mixed layouts in one conversation, and conversations without any turn
+    rows = [(1, 0, json.dumps(records["messages"])), (1, 1, json.dumps(records["turn_row"])), (2, 0, json.dumps(records[None])), (3, 0, json.dumps(records["messages_none"])), (1, 2, json.dumps(records[None]))]
+    mixed = spark.createDataFrame(rows, "conv_id long, turn long, j string").select("conv_id", "turn", F.parse_json("j").alias("record"))
+    out = {r["conv_id"]: r for r in chat.format_records(mixed).withColumn("turns", chat.read_back(F.col("formatted"))).collect()}
+    assert [tuple(t) for t in out[1]["turns"]] == [("user", "q"), ("assistant", ""), ("user", "q")]
+    assert out[2]["formatted"] == out[3]["formatted"] == "" and out[2]["loss_mask"] == out[3]["loss_mask"] == [] and len(out[1]["loss_mask"]) == 1
 
 
 def test_query_digests(spark, tmp_path):

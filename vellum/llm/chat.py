@@ -2,7 +2,7 @@
 
 A record is a VARIANT. Its nested field paths (types and values left out) are hashed; the hash selects one of the
 declared ``LAYOUTS``, which say by paths where the turns are. Records of a layout that isn't declared keep a row with
-``layout`` null and no turns. Everything is built-in Spark functions.
+``layout`` null and no turns; formatted, a conversation without turns is an empty text with nothing under its mask. Everything is built-in Spark functions.
 
 Defined results: null text or role is empty; turns without text are kept; turns of a conversation are ordered by turn
 (null first), then role and text, so ties and repeated rows have a fixed place; an empty table gives no rows; other columns are ignored.
@@ -34,8 +34,12 @@ class Layout:
 LAYOUTS = (
     Layout("turn_row", "{role,text}", fixed=((None, "$.text", "$.role"),)),
     Layout("messages", "{messages:[{content,role}]}", items=("$.messages", "role", "content")),
+    Layout("messages_named", "{messages:[{content,name,role}]}", items=("$.messages", "role", "content")),
+    Layout("messages_id", "{id,messages:[{content,role}]}", items=("$.messages", "role", "content")),
+    Layout("messages_none", "{messages:[]}", items=("$.messages", "role", "content")),
     Layout("share", "{conversations:[{from,value}]}", items=("$.conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
     Layout("share_id", "{conversations:[{from,value}],id}", items=("$.conversations", "from", "value"), roles={"human": "user", "gpt": "assistant"}),
+    Layout("share_none", "{conversations:[]}", items=("$.conversations", "from", "value")),
     Layout("instruction", "{instruction,output}", fixed=(("user", "$.instruction"), ("assistant", "$.output"))),
     Layout("instruction_input", "{input,instruction,output}", fixed=(("user", "$.instruction"), ("user", "$.input"), ("assistant", "$.output"))),
     Layout("prompt", "{completion,prompt}", fixed=(("user", "$.prompt"), ("assistant", "$.completion"))),
@@ -48,7 +52,7 @@ LAYOUTS = (
 def field_paths(record: Column) -> Column:
     """The nested field names of a variant as text, such as ``{messages:[{content,role}]}``."""
     text = F.schema_of_variant(record)
-    for pattern, to in ((r"OBJECT<", "{"), (r"ARRAY<", "["), (r": (VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DATE|TIMESTAMP(_NTZ)?|FLOAT|BINARY|VARIANT|DECIMAL\(\d+, ?\d+\))", "")):
+    for pattern, to in ((r"ARRAY<VOID>", "[>"), (r"OBJECT<", "{"), (r"ARRAY<", "["), (r": (VOID|STRING|BIGINT|DOUBLE|BOOLEAN|DATE|TIMESTAMP(_NTZ)?|FLOAT|BINARY|VARIANT|DECIMAL\(\d+, ?\d+\))", "")):
         text = F.regexp_replace(text, pattern, to)
     # what closes: each > after an array's element is ], after an object's fields }
     text = F.regexp_replace(text, ", ", ",")
@@ -114,22 +118,23 @@ class Template:
 
 
 def format_rows(rows: DataFrame, template: Template = Template(), trained: str = "assistant") -> DataFrame:
-    """One row a conversation from rows (conv_id, turn, at, role, text): ``formatted`` and ``loss_mask``, the spans (start, length in
+    """One row a conversation from rows (conv_id, turn, at, role, text; at null: no turn): ``formatted`` and ``loss_mask``, the spans (start, length in
     code points of ``formatted``) of the texts of the role that is trained."""
     role, text = template.escape(F.coalesce("role", F.lit(""))), template.escape(F.coalesce("text", F.lit("")))
     rows = rows.select(
         "conv_id", "turn", "at", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"),
         F.concat(F.lit(template.begin), role, F.lit(template.middle)).alias("head"), text.alias("body"),
     )
+    said = F.col("at").isNotNull()
     order = Window.partitionBy("conv_id").orderBy(F.col("turn").asc_nulls_first(), "at", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
     n = F.char_length("body")
     rows = rows.withColumns({
-        "upto": F.sum(F.char_length("head") + n + len(template.end)).over(order).cast("long"),
+        "upto": F.sum(F.when(said, F.char_length("head") + n + len(template.end)).otherwise(0)).over(order).cast("long"),
         "place": F.row_number().over(order),
     })
     start = F.col("upto") - len(template.end) - n
     turn = F.struct("place", F.concat("head", "body", F.lit(template.end)).alias("piece"), F.when(F.col("role") == trained, F.struct(start.alias("start"), n.cast("long").alias("length"))).alias("span"))
-    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("t"))
+    out = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(F.when(said, turn))).alias("t"))
     return out.select("conv_id", F.array_join(F.col("t.piece"), "").alias("formatted"), F.filter("t.span", lambda s: s.isNotNull()).alias("loss_mask"))
 
 
@@ -146,13 +151,17 @@ def masked_text(formatted: Column, mask: Column, template: Template = Template()
     return template.unescape(F.array_join(F.transform(mask, lambda s: F.substr(formatted, (s["start"] + 1).cast("int"), s["length"].cast("int"))), ""))
 
 
-def format_conversations(conversations: DataFrame, template: Template = Template()) -> DataFrame:
-    """``conversations`` has a row a turn (conv_id, turn, role, text); each row is a record whose fingerprint selects its mapping."""
-    records = conversations.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record"))
-    rows = canonical_turns(records, "record").select("conv_id", "turn", F.posexplode("turns").alias("at", "t"))
+def format_records(records: DataFrame, template: Template = Template()) -> DataFrame:
+    """One row a conversation from (conv_id, turn, record): each record's fingerprint selects its mapping, and its turns follow those of the records before it."""
+    rows = canonical_turns(records, "record").select("conv_id", "turn", F.posexplode_outer("turns").alias("at", "t"))
     return format_rows(rows.select("conv_id", "turn", "at", "t.role", "t.text"), template)
 
 
+def format_conversations(conversations: DataFrame, template: Template = Template()) -> DataFrame:
+    """``conversations`` has a row a turn (conv_id, turn, role, text), each a record of its own."""
+    return format_records(conversations.select("conv_id", "turn", F.to_variant_object(F.struct("role", "text")).alias("record")), template)
+
+
 #: The query's digests in DuckDB's SQL.
 CHAT_SQL = r"""
 WITH c AS (
