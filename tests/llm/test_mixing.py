@@ -53,3 +53,12 @@ def test_edges(spark):
     repeated, plan = mixing.repeat_rows(df), mixing.mix(df)
     assert repeated.columns == df.columns
     assert repeated.count() == plan.agg(F.sum("copies")).first()[0]
+
+
+def test_rows_without_an_id_or_of_one_id_are_drawn_by_their_texts(spark):
+    rows = [(None if j % 2 else 5, f"word{j} " * 5, s, "clash", 1) for s, n in (("a", 400), ("b", 900)) for j in range(n)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    for r in mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.first("target").alias("target")).collect():
+        assert abs(r["taken"] - r["target"]) <= 5
+    assert abs(mixing.repeat_rows(df).count() * 5 - 1.5 * 5 * 1300) <= 10
+    assert mixing.repeat_rows(df).filter("doc_id IS NULL").select("text").distinct().count() > 300

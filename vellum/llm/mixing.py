@@ -5,11 +5,11 @@ their weights until none is above. A source is clamped just if its capacity per
 sources not yet clamped reach together, so one pass over the sources by capacity per weight finds the rounds' end.
 
 ``mix`` takes whole repetitions of every document of a source and, for the fraction left, one more of the documents
-whose seeded digest lies below a cut. The cut is found from the sizes by (source, digest range): 65,536 ranges for each
+whose seeded digest (of id and text, for ids may be null or shared) lies below a cut. The cut is found from the sizes by (source, digest range): 65,536 ranges for each
 source, counted map-side before any shuffle, so a source with a third of all rows is no task's burden.
 
 Defined results: null text has size 0; the null source is a source, last by code point; documents of size 0 take 0;
-repeated rows share a digest and are taken alike; an empty table gives no rows; other columns are ignored.
+rows equal in id and text share a digest and are taken alike; an empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,9 +27,9 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def digest_range(seed: int, doc_id: Column) -> Column:
-    """0 to 65,535 from the MD5 of the seed and the id, as any engine has it."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit(""))).cast("binary"))
+def digest_range(seed: int, doc_id: Column, text: Column) -> Column:
+    """0 to 65,535 from the MD5 of the seed, the id and the text, as any engine has it."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("")), F.lit(":"), F.coalesce(text, F.lit(""))).cast("binary"))
     return F.conv(F.substring(digest, 1, 4), 16, 10).cast("int")
 
 
@@ -53,9 +53,8 @@ def water_fill(sources: DataFrame, share: float, max_epochs: float) -> DataFrame
     return leveled.withColumn("target", target).drop("_place", "_level", "_free")
 
 
-def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0, seed: int = 0) -> DataFrame:
-    """doc_id, size, source, source_size, target and taken (words, repeats counted) for each row of ``docs``."""
-    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest_range(seed, F.col("doc_id")).alias("range")))
+def plan_sources(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.5, max_epochs: float = 2.0) -> DataFrame:
+    """From (source, size, range), one row a source: source, source_size, target, whole (repetitions of every document) and cut (the last range that is taken once more)."""
     ranges = sized.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
     sources = ranges.groupBy("source").agg(F.sum("range_size").alias("source_size"))
     targets = water_fill(cyclic_weights(sources, weights), share, max_epochs)
@@ -64,21 +63,28 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share: float = 1.
     upto = F.sum("range_size").over(Window.partitionBy("source").orderBy("range"))
     ranges = ranges.withColumn("upto", upto).alias("r").join(plan.alias("p"), F.expr("r.source <=> p.source"))
     near = F.abs(F.col("upto") - F.col("more")) < F.abs(F.col("upto") - F.col("range_size") - F.col("more"))
-    cuts = ranges.groupBy("p.source").agg(
+    return ranges.groupBy("p.source").agg(
         *(F.first(c).alias(c) for c in ("source_size", "target", "whole")),
         F.coalesce(F.max(F.when(near | (F.col("upto") <= F.col("more")), F.col("range"))), F.lit(-1)).alias("cut"),
     )
+
+
+def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """doc_id, size, source, source_size, target and taken (words, repeats counted) for each row of ``docs``; ``options`` as ``plan_sources`` has them."""
+    sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest_range(seed, F.col("doc_id"), F.col("text")).alias("range")))
     copies = F.col("whole") + (F.col("range") <= F.col("cut")).cast("long")
-    return sized.alias("d").join(cuts.alias("c"), F.expr("d.source <=> c.source")).select(
+    return sized.alias("d").join(plan_sources(sized, **options).alias("c"), F.expr("d.source <=> c.source")).select(
         "doc_id", F.col("size"), F.col("d.source").alias("source"), "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
 
-def repeat_rows(docs: DataFrame, **options) -> DataFrame:
-    """The mix itself: the rows of ``docs`` with their columns, each as often as the mix takes it."""
-    plan = mix(docs, **options).groupBy("doc_id").agg(F.max("copies").alias("copies"))
-    taken = docs.alias("d").join(plan.filter("copies > 0").alias("m"), F.expr("d.doc_id <=> m.doc_id"))
-    return taken.select("d.*", F.explode(F.sequence(F.lit(1), F.col("m.copies").cast("int"))).alias("__copy")).select([F.col(f"`{c}`") for c in docs.columns])
+def repeat_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
+    """The mix itself: the rows of ``docs`` with their columns, each as often as the mix takes it. Each row finds its source's plan; rows don't meet by id."""
+    drawn = digest_range(seed, F.col("doc_id"), F.col("text"))
+    plan = cut(plan_sources(docs.select("source", n_words(F.col("text")).alias("size"), drawn.alias("range")), **options))
+    rows = docs.select(F.struct(*docs.columns).alias("d"), drawn.alias("range"))
+    taken = rows.join(plan.withColumnRenamed("source", "s"), F.expr("d.source <=> s")).withColumn("copies", (F.col("whole") + (F.col("range") <= F.col("cut")).cast("long")).cast("int"))
+    return taken.filter("copies > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
 #: The mix in DuckDB's SQL, with the parameters of the query.
@@ -86,7 +92,7 @@ MIX_SQL = r"""
 WITH d AS (
   SELECT doc_id, source,
          COALESCE(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size,
-         ('0x' || substr(md5('0:' || COALESCE(doc_id::VARCHAR, '')), 1, 4))::INT AS range
+         ('0x' || substr(md5('0:' || COALESCE(doc_id::VARCHAR, '') || ':' || COALESCE(text, '')), 1, 4))::INT AS range
   FROM documents),
 s AS (SELECT source, sum(size)::BIGINT AS source_size FROM d GROUP BY source),
 w AS (SELECT *, [5, 2, 1][((row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1)::INT] AS weight FROM s),
