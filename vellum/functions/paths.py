@@ -42,9 +42,11 @@ def prefixes(path: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
 
 
-def below(path: Column, folder_path: str) -> Column:
-    """A comparison that Parquet's minima and maxima can prune: from ``folder/`` to just before ``folder0``."""
-    return (path >= F.lit(folder_path + "/")) & (path < F.lit(folder_path + "0"))
+def below(path: Column, folder_path: str | Column) -> Column:
+    """A comparison that Parquet's minima and maxima can prune where the folder is a literal: from ``folder/`` to just before ``folder0``."""
+    if isinstance(folder_path, str):
+        return (path >= F.lit(folder_path + "/")) & (path < F.lit(folder_path + "0"))
+    return (path >= F.concat(folder_path, F.lit("/"))) & (path < F.concat(folder_path, F.lit("0")))
 
 
 def is_direct_child(path: Column, folder_path: str) -> Column:

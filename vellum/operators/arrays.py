@@ -95,27 +95,33 @@ def tiles(rows: DataFrame, x: str, y: str, size: int, measures: dict[str, Column
 
 
 def largest_rectangle(rows: DataFrame, by: list[str], x: str, y: str, filled: str) -> DataFrame:
-    """The largest all-filled axis-aligned rectangle of each group's grid: left, top, width, height, area (ties: topmost, then leftmost). A group is one picture's mask."""
+    """The largest all-filled axis-aligned rectangle of each group's grid: left, top, width, height, area (ties: topmost, then leftmost; all 0 where nothing is filled).
+    A group is one picture's mask; only its filled cells are held, so cells far apart cost no more than others. Repeated cells count once."""
     import pandas as pd
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
-        hit = pdf[pdf[filled].fillna(False).astype(bool)]
-        best = (0, 0, 0, 0, 0)
-        if len(hit):
-            x0, y0 = int(hit[x].min()), int(hit[y].min())
-            grid = np.zeros((int(hit[y].max()) - y0 + 1, int(hit[x].max()) - x0 + 2), np.int64)
-            grid[hit[y] - y0, hit[x] - x0] = 1
-            tall = np.zeros(grid.shape[1], np.int64)
-            for row in range(len(grid)):
-                tall = np.where(grid[row] == 1, tall + 1, 0)
-                stack: list[tuple[int, int]] = []
-                for col, h in enumerate(tall.tolist()):
-                    start = col
-                    while stack and stack[-1][1] >= h:
+        hit = pdf[pdf[filled].fillna(False).astype(bool)].drop_duplicates([x, y])
+        best, tall, above = (0, 0, 0, 0, 0), {}, None
+        for row, cells in hit.sort_values([y, x]).groupby(y)[x]:
+            cols = cells.tolist()
+            tall = {c: (tall.get(c, 0) if above is not None and row == above + 1 else 0) + 1 for c in cols}
+            above = row
+            stack: list[tuple[int, int]] = []  # (first column, height), of columns that touch
+            last = None
+            for col in [*cols, None]:
+                if stack and (col is None or col != last + 1):
+                    end = last + 1
+                    while stack:
                         start, up = stack.pop()
-                        found = (up * (col - start), -(row - up + 1 + y0), -(start + x0), col - start, up)
-                        best = max(best, found)
-                    stack.append((start, h))
+                        best = max(best, (up * (end - start), -(row - up + 1), -start, end - start, up))
+                if col is None:
+                    break
+                start = col
+                while stack and stack[-1][1] >= tall[col]:
+                    start, up = stack.pop()
+                    best = max(best, (up * (col - start), -(row - up + 1), -start, col - start, up))
+                stack.append((start, tall[col]))
+                last = col
         area, top, left, width, height = best
         return pdf[by].head(1).assign(left=-left, top=-top, width=width, height=height, area=area)
 

@@ -64,6 +64,37 @@ def merge_units(log: DataFrame, keys: list[str], unit: str, stamp: list[str], va
     return log.groupBy(*keys, unit).agg(F.max_by(value, F.struct(*stamp)).alias(value), F.max(F.struct(*stamp)).alias("stamp"))
 
 
+def merge_edits(log: DataFrame, keys: list[str], by_user: str, stamp: list[str], value: str) -> DataFrame:
+    """Last writer wins, but a user's edit is never displaced by an automatic one: the value with the largest (by_user, stamp). Null counts as automatic."""
+    rank = F.struct(F.coalesce(F.col(by_user), F.lit(False)).cast("int").alias("user"), *stamp)
+    return log.groupBy(*keys).agg(F.max_by(value, rank).alias(value), F.max(rank).alias("rank")).withColumn(by_user, F.col("rank.user") == 1).select(*keys, value, by_user)
+
+
+def page_verdicts(pages: DataFrame, held: DataFrame, origin: str, first: str, last: str, now: Column, most_ahead: Column) -> DataFrame:
+    """What to do with each page of a change log (origin, first, last: its stamps in milliseconds): ``reject`` where a stamp is further ahead of the clock than allowed, ``old`` where
+    the origin's held stamp covers it all, ``wait`` where there is a gap before it, else ``apply``. ``held``: origin, held, and ``expected``, the next page's first stamp."""
+    joined = pages.join(held.select(origin, F.col("held").alias("__held"), F.col("expected").alias("__next")), origin, "left")
+    verdict = F.when(F.col(last) > now + most_ahead, "reject").when(F.col(last) <= F.coalesce("__held", F.lit(-1)), "old").when(F.col(first) > F.col("__next"), "wait").otherwise("apply")
+    return joined.withColumn("verdict", verdict).drop("__held", "__next")
+
+
+def folder_claims(arrivals: DataFrame, holders: DataFrame) -> DataFrame:
+    """Who keeps a folder that an arriving rename (library_id, id, path, was, stamp) and another row (library_id, id, path, stamp) both claim: the earlier stamp, on ties the
+    smaller id; a holder without a stamp gives way. ``loser`` and the path it goes to, ``given``: an arriving one that loses goes back to where it ``was`` unless that is taken or
+    unknown, then, as a holder that loses does, to the first of path_2, path_3 and so on that is free."""
+    h = holders.select("library_id", "path", F.col("id").alias("held_by"), F.col("stamp").alias("__held"))
+    met = arrivals.join(h, ["library_id", "path"]).filter("id <> held_by")
+    arriving = F.col("__held").isNotNull() & ((F.col("__held") < F.col("stamp")) | ((F.col("__held") == F.col("stamp")) & (F.col("held_by") < F.col("id"))))
+    back = holders.select("library_id", F.col("path").alias("was"), F.lit(True).alias("__taken")).distinct()
+    spent = holders.select("library_id", F.regexp_extract("path", r"^(.*)_(\d{1,9})$", 1).alias("path"), F.regexp_extract("path", r"_(\d{1,9})$", 1).try_cast("int").alias("k")).filter("k >= 2")
+    spent = spent.join(arrivals.select("library_id", "path").distinct(), ["library_id", "path"], "left_semi").groupBy("library_id", "path").agg(F.array_sort(F.collect_set("k")).alias("__ks"))
+    judged = met.withColumn("__arriving", arriving).join(back, ["library_id", "was"], "left").join(spent, ["library_id", "path"], "left")
+    ks = F.coalesce("__ks", F.array().cast("array<int>"))
+    free = F.aggregate(ks, F.lit(2), lambda n, k: F.when(k == n, n + 1).otherwise(n))
+    given = F.when(F.col("__arriving") & F.col("was").isNotNull() & F.col("__taken").isNull() & (F.col("was") != F.col("path")), F.col("was")).otherwise(F.concat_ws("_", "path", free.cast("string")))
+    return judged.select("library_id", "path", F.when(F.col("__arriving"), F.col("id")).otherwise(F.col("held_by")).alias("loser"), F.when(F.col("__arriving"), "arriving").otherwise("holder").alias("side"), given.alias("given"))
+
+
 def apply_tombstones(merged: DataFrame, tombstones: DataFrame, keys: list[str], stamp: Column, final: bool) -> DataFrame:
     """Drops rows with a tombstone: any, where deletion is final; else those no newer than it. ``tombstones``: keys and tomb_stamp."""
     last = tombstones.groupBy(*keys).agg(F.max("tomb_stamp").alias("__tomb"))
@@ -88,12 +119,12 @@ def version_vector(applied: DataFrame, deferred: DataFrame, origin: str, stamp:
 
 
 def collectable(tombstones: DataFrame, vectors: DataFrame, origin: str, stamp: str, peer: str) -> DataFrame:
-    """Tombstones that every peer's vector (peer, origin, held) covers."""
-    peers = vectors.select(peer).distinct()
-    n = peers.agg(F.count("*").alias("__peers"))
-    cover = tombstones.alias("t").join(vectors.alias("v"), origin).filter(F.col(f"v.held") >= F.col(f"t.{stamp}")).select("t.*", F.col(f"v.{peer}").alias("__peer"))
-    counted = cover.groupBy(*tombstones.columns).agg(F.count_distinct("__peer").alias("__n"))
-    return counted.join(F.broadcast(n), F.col("__n") == F.col("__peers")).select(*tombstones.columns)
+    """Tombstones that every peer's vector (peer, origin, held) covers: those up to the least that any peer holds of their origin. Vectors are reduced to a row an
+    origin first, so tombstones meet nothing that grows with the peers."""
+    peers = vectors.agg(F.count_distinct(peer).alias("__peers"))
+    held = vectors.groupBy(origin, peer).agg(F.max("held").alias("__held")).groupBy(origin).agg(F.min("__held").alias("__least"), F.count("*").alias("__n"))
+    cover = held.join(F.broadcast(peers), F.col("__n") == F.col("__peers")).select(origin, "__least")
+    return tombstones.join(cover, origin).filter(F.col(stamp) <= F.col("__least")).select(*tombstones.columns)
 
 
 def claim_names(claims: DataFrame, name: str, claimed: str, row_id: str) -> DataFrame:

@@ -2,31 +2,70 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts lineage in the cluster's shared checkpoint folder (a local one only where none is set, as in tests)."""
-    context = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names and all executors share. Where none is set, one of this machine is taken in local mode, as in tests; on a cluster that is an error."""
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
+            raise ValueError("spark.checkpoint.dir names no folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts lineage in the shared checkpoint folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-#: Edges that a task of a round reads and writes.
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    """Deletes a folder below the shared one, by Spark's own file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+#: Edges that a task of a round reads and writes, and up to which one task ends the rounds.
 EDGES_PER_TASK = 200_000
 
 
+def _joined(batches):
+    """(u, v) of all edges of a task: each vertex that isn't its component's smallest, with that one. At most EDGES_PER_TASK edges."""
+    import pandas as pd
+
+    parent: dict = {}
+
+    def find(x):
+        root = x
+        while parent.setdefault(root, root) != root:
+            root = parent[root]
+        while parent[x] != root:
+            parent[x], x = root, parent[x]
+        return root
+
+    for pdf in batches:
+        for a, b in zip(pdf["u"], pdf["v"]):
+            a, b = find(a), find(b)
+            if a != b:
+                parent[max(a, b)] = min(a, b)
+    found = [(x, find(x)) for x in list(parent)]
+    yield pd.DataFrame([f for f in found if f[0] != f[1]], columns=["u", "v"])
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """From edges (a, b) of any orderable type: one row a vertex, ``node`` and ``component``, its smallest reachable vertex.
 
     Each round hangs every vertex's larger neighbours (large star), then its smaller ones (small star), on the smallest it
-    knows; the rounds end when the edges stop changing, after about log(n) of them. Neighbour minima are
-    aggregated map-side; no group is collected. A round never has more edges than the one before and one a vertex, so its tasks follow
-    from the edges left: late, small rounds don't write a file for each of the session's shuffle partitions.
+    knows; the rounds end when the edges stop changing, after about log(n) of them, or when so few are left that one task can join them, with the same result. Neighbour minima are
+    aggregated map-side; no group is collected, and a vertex with very many neighbours is a large key of joins alone, which Spark may split. A round never has more edges than the
+    one before and one a vertex, so its tasks follow from the edges left.
     Null ends and self-loops connect nothing, but a self-loop names its vertex.
     """
     pairs = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u IS NOT NULL AND v IS NOT NULL")
@@ -35,9 +74,12 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     mark = None
     while True:
         new = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if new == mark:
+        if new == mark or not new[0]:
             break
         mark, tasks = new, max(1, -(-new[0] // EDGES_PER_TASK))
+        if tasks == 1:
+            now = checkpointed(now.coalesce(1).mapInPandas(_joined, now.schema))
+            break
         both = now.coalesce(tasks).select(F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e")).select("e.u", "e.v")
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).filter("u <> v")

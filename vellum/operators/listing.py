@@ -16,7 +16,7 @@ def list_rows(rows: DataFrame, conditions: Conditions, order: list[Column], offs
 
 def collapse(rows: DataFrame, group: str, order: list[Column], single: Column, size: str = "group_size") -> DataFrame:
     """One row a group, the first in the order, with the number of its rows; rows without a group stand for themselves."""
-    key = F.coalesce(F.col(group).cast("string"), F.concat(F.lit("#"), single.cast("string")))
+    key = F.struct(F.col(group), F.when(F.col(group).isNull(), single))
     w = Window.partitionBy("__key")
     out = rows.withColumn("__key", key).withColumns({size: F.count("*").over(w), "__place": F.row_number().over(w.orderBy(*order))})
     return out.filter("__place = 1").drop("__place", "__key")

@@ -9,15 +9,17 @@ from ..functions import paths
 
 
 def at_or_below(rows: DataFrame, path: str, folders: DataFrame, folder: str) -> DataFrame:
-    """Semi join: rows whose path is one of the folders or below one. Prefixes are exploded, so the join has keys."""
-    hits = rows.select(F.col(path).alias("__p")).distinct().select("__p", F.explode(paths.prefixes(F.col("__p"))).alias("__f"))
-    hits = hits.join(folders.select(F.col(folder).alias("__f")).distinct(), "__f").select(F.col("__p").alias(path)).distinct()
-    return rows.join(hits, path, "left_semi")
+    """Semi join: rows whose path is one of the folders or below one. Prefixes are exploded, so the join has keys; folders below others of the list
+    are left out first, so a path meets one folder at most and rows need not be told apart again. Null paths are below nothing."""
+    known = folders.select(F.col(folder).alias("__f")).filter("__f IS NOT NULL").distinct()
+    above = known.select(F.col("__f").alias("__own"), F.explode(paths.prefixes(paths.folder(F.col("__f")))).alias("__f")).join(known, "__f", "left_semi")
+    tops = known.join(above.select(F.col("__own").alias("__f")), "__f", "left_anti")
+    return rows.withColumn("__f", F.explode(paths.prefixes(F.col(path)))).join(tops, "__f").select(*rows.columns)
 
 
 def longest_prefix(rows: DataFrame, path: str, folders: DataFrame, folder: str, name: str) -> DataFrame:
     """Adds the longest of the folders that holds each path, or null."""
-    hits = rows.select(F.col(path).alias("__p")).distinct().select("__p", F.explode(paths.prefixes(F.col("__p"))).alias("__f"))
+    hits = rows.select(F.col(path).alias("__p"), F.explode(paths.prefixes(F.col(path))).alias("__f"))
     best = hits.join(folders.select(F.col(folder).alias("__f")).distinct(), "__f").groupBy("__p").agg(F.max_by("__f", F.length("__f")).alias(name))
     return rows.join(best.withColumnRenamed("__p", path), path, "left")
 
@@ -72,6 +74,6 @@ def all_under(inputs: DataFrame, by: str, under: Column) -> DataFrame:
 
 def same_sets(rows: DataFrame, by: str, item: str) -> DataFrame:
     """Groups with equal sets of items: (a, b) of neighbouring groups in each class of equal sets, by a digest of the sorted set."""
-    sets = rows.groupBy(by).agg(F.array_sort(F.collect_set(item)).alias("items"))
-    w = Window.partitionBy("items").orderBy(by)
+    sets = rows.groupBy(by).agg(F.sha2(F.to_json(F.array_sort(F.collect_set(item))).cast("binary"), 256).alias("digest"))
+    w = Window.partitionBy("digest").orderBy(by)
     return sets.withColumn("first", F.first(by).over(w)).filter(F.col("first") != F.col(by)).select(F.col("first").alias("a"), F.col(by).alias("b"))

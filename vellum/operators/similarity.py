@@ -16,57 +16,94 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def clique_groups(rows: DataFrame, by: list[str], order: list[str], vector: str, row_id: str, threshold: float, longest: int = 100_000) -> DataFrame:
-    """Sequential grouping inside each run: a row joins the open group if its cosine with every member reaches the threshold, else it opens a new one.
-    Gives ``by``, id and ``clique`` (the group's first position in its run; -1 for a group of one). Order matters, so a run is one task's;
-    runs longer than ``longest`` raise an error. Split rows into runs (``sequence.gap_runs``) first."""
-
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        if len(pdf) > longest:
-            raise ValueError(f"a run has more than {longest} rows")
-        pdf = pdf.sort_values(order, kind="stable")
-        m = np.stack([np.asarray(v, float) for v in pdf[vector]])
-        m /= np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-12)
-        names, start = np.zeros(len(m), np.int64), 0
-        for i in range(1, len(m)):
-            if (m[start:i] @ m[i]).min() < threshold:
-                start = i
-            names[i] = start
-        alone = np.bincount(names, minlength=len(m))[names] == 1
-        return pdf[by + [row_id]].assign(clique=np.where(alone, -1, names))
+def clique_groups(rows: DataFrame, by: list[str], order: list[str], vector: str, row_id: str, threshold: float, alike=None) -> DataFrame:
+    """Sequential grouping inside each run: a row joins the open group if it is alike, by at least the threshold, to every member, else it opens a new one.
+    Gives ``by``, id and ``clique`` (the group's first position in its run; -1 for a group of one, and for rows whose vector is null, which end the open group).
+    Order matters, so a run is one task's, which streams through it and holds the open group alone, however long the run is; split rows into
+    runs (``sequence.gap_runs``) first. ``alike(members, vector)`` gives the similarities to a list of vectors; cosine where it is None."""
+    if alike is None:
+
+        def alike(members, v):
+            m = np.stack(members)
+            return m @ v / np.maximum(np.linalg.norm(m, axis=1) * np.linalg.norm(v), 1e-12)
 
     kinds = dict(rows.dtypes)
-    schema = ", ".join(f"`{c}` {kinds[c]}" for c in by + [row_id]) + ", clique long"
-    return rows.select(*dict.fromkeys([*by, row_id, *order, vector])).groupBy(*by).applyInPandas(group, schema)
+    keep = [*by, row_id]
+
+    def walk(batches):
+        run, at, start, members, ids = None, 0, 0, [], []
+        done: list[tuple] = []
+
+        def close():
+            done.extend((*run, i, start if len(ids) > 1 else -1) for i in ids)
+            members.clear()
+            ids.clear()
+
+        for pdf in batches:
+            for row, v in zip(pdf[keep].itertuples(index=False, name=None), pdf[vector]):
+                here, i = row[:-1], row[-1]
+                if run is None or not _same(run, here):
+                    if ids:
+                        close()
+                    run, at, start = here, 0, 0
+                if v is None:
+                    close()
+                    done.append((*run, i, -1))
+                else:
+                    v = np.asarray(v, float)
+                    if members and np.min(alike(members, v)) < threshold:
+                        close()
+                    if not members:
+                        start = at
+                    members.append(v)
+                    ids.append(i)
+                at += 1
+            yield pd.DataFrame(done, columns=[*keep, "clique"])
+            done = []
+        if ids:
+            close()
+        yield pd.DataFrame(done, columns=[*keep, "clique"])
+
+    schema = ", ".join(f"`{c}` {kinds[c]}" for c in keep) + ", clique long"
+    streamed = rows.select(*dict.fromkeys([*keep, *order, vector])).repartition(*by).sortWithinPartitions(*by, *order)
+    return streamed.mapInPandas(walk, schema)
+
+
+def _same(a: tuple, b: tuple) -> bool:
+    return all(x == y or (pd.isna(x) and pd.isna(y)) for x, y in zip(a, b))
 
 
 def distinct_matches(left: DataFrame, right: DataFrame, row_id: str, vector: str, ratio: float, block: int = 2048) -> DataFrame:
     """(left_id, right_id, distance): for each left row its nearest right row by Euclidean distance, kept if that is less than ``ratio`` times the distance of the second
-    nearest, and if the left row is the right one's best too. The left is a stated query set; the right is searched in blocks, of which only
-    each left row's two best go on."""
-    from pyspark.sql.functions import pandas_udf  # noqa: F401
-
-    n_right = right.count()
-    parts = max(1, -(-n_right // block))
-    l = left.select(F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part"), F.lit(True).alias("asks"), row_id, vector)  # noqa: E741
-    r = right.select(F.pmod(F.xxhash64(row_id), F.lit(parts)).cast("int").alias("part"), F.lit(False).alias("asks"), row_id, vector)
+    nearest, and if the left row is the right one's best too. Both sides are dealt into blocks of about ``block`` rows; a task holds one block of each,
+    and only each left row's two best in it go on. Rows without a vector match nothing."""
+    left, right = left.filter(F.col(vector).isNotNull()), right.filter(F.col(vector).isNotNull())
+    n_left, n_right = (max(1, -(-df.count() // block)) for df in (left, right))
+    place = lambda n: F.pmod(F.xxhash64(row_id), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    l = left.select(place(n_left).alias("i"), every(n_right).alias("j"), F.lit(True).alias("asks"), row_id, vector)  # noqa: E741
+    r = right.select(every(n_left).alias("i"), place(n_right).alias("j"), F.lit(False).alias("asks"), row_id, vector)
     kind = dict(left.dtypes)[row_id]
 
     def search(pdf: pd.DataFrame) -> pd.DataFrame:
         ask, have = pdf[pdf["asks"]], pdf[~pdf["asks"]].sort_values(row_id)
-        out = {"left_id": [], "right_id": [], "distance": []}
-        if len(ask) and len(have):
-            b = np.stack([np.asarray(v, float) for v in have[vector]])
-            ids = have[row_id].to_numpy()
-            for i, v in zip(ask[row_id], ask[vector]):
-                d = np.sqrt(((b - np.asarray(v, float)) ** 2).sum(axis=1))
-                for j in np.argsort(d, kind="stable")[:2]:
-                    out["left_id"].append(i)
-                    out["right_id"].append(ids[j])
-                    out["distance"].append(float(d[j]))
-        return pd.DataFrame(out)
-
-    found = l.unionByName(r).groupBy("part").applyInPandas(search, f"left_id {kind}, right_id {kind}, distance double")
+        if not len(ask) or not len(have):
+            return pd.DataFrame({"left_id": [], "right_id": [], "distance": []})
+        b, ids = np.stack(have[vector].to_list()).astype(float), have[row_id].to_numpy()
+        out = []
+        for at in range(0, len(ask), 256):
+            part = ask.iloc[at : at + 256]
+            a = np.stack(part[vector].to_list()).astype(float)
+            # the two nearest by the expanded square, those near the bound exactly
+            square = (a**2).sum(axis=1)[:, None] - 2 * a @ b.T + (b**2).sum(axis=1)[None, :]
+            bar = np.partition(square, min(1, len(ids) - 1), axis=1)[:, min(1, len(ids) - 1)]
+            for i, v, s, limit in zip(part[row_id], a, square, bar):
+                near = np.flatnonzero(s <= limit + 1e-6 * (1 + abs(limit)))
+                d = np.sqrt(((b[near] - v) ** 2).sum(axis=1))
+                out += [(i, ids[near[j]], float(d[j])) for j in np.argsort(d, kind="stable")[:2]]
+        return pd.DataFrame(out, columns=["left_id", "right_id", "distance"])
+
+    found = l.unionByName(r).groupBy("i", "j").applyInPandas(search, f"left_id {kind}, right_id {kind}, distance double")
     w = Window.partitionBy("left_id").orderBy("distance", "right_id")
     best = found.withColumns({"place": F.row_number().over(w), "second": F.lead("distance").over(w)}).filter("place = 1")
     good = best.filter(F.col("second").isNull() | (F.col("distance") < ratio * F.col("second")))

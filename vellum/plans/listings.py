@@ -171,10 +171,34 @@ def seek_backward_undated(t):
     return ordering.seek(entries(t), "taken", "id", (None, 500), False, 50).select("id")
 
 
-@query(f"SELECT id FROM {ENTRIES} WHERE taken >= TIMESTAMP '1996-01-01' AND (taken < TIMESTAMP '1996-02-01' OR (taken = TIMESTAMP '1996-02-01' AND id <= 0)) ORDER BY taken, id LIMIT 1000")
+@query(f"SELECT id FROM {ENTRIES} WHERE taken >= TIMESTAMP '1996-01-01' AND (taken < TIMESTAMP '1996-02-01' OR (taken = TIMESTAMP '1996-02-01' AND id <= 7000)) ORDER BY taken, id LIMIT 1000")
 def range_between_anchors(t):
-    e = entries(t).filter("taken >= TIMESTAMP '1996-01-01' AND (taken < TIMESTAMP '1996-02-01' OR (taken = TIMESTAMP '1996-02-01' AND id <= 0))")
-    return e.orderBy("taken", "id").limit(1000).select("id")
+    import datetime
+
+    return ordering.between_anchors(entries(t), "taken", "id", (datetime.datetime(1996, 1, 1), 0), (datetime.datetime(1996, 2, 1), 7000)).select("id")
+
+
+@query(f"SELECT id FROM (SELECT id, taken FROM {ENTRIES} WHERE taken < TIMESTAMP '1996-02-01' OR (taken = TIMESTAMP '1996-02-01' AND id <= 7000) ORDER BY taken DESC, id DESC LIMIT 200)")
+def range_up_to_an_anchor(t):
+    import datetime
+
+    return ordering.between_anchors(entries(t), "taken", "id", None, (datetime.datetime(1996, 2, 1), 7000), 200).select("id")
+
+
+_PLACES = f"(SELECT id, stack, row_number() OVER (ORDER BY taken ASC NULLS LAST, id) - 1 AS position FROM {ENTRIES})"
+
+
+@query(f"SELECT id FROM {ENTRIES} WHERE stack IN (SELECT stack FROM {_PLACES} WHERE position BETWEEN 10 AND 40)")
+def ids_at_positions_with_stacks(t):
+    e = entries(t).select("id", "taken", "stack")
+    return lookup.chosen_or_group(e, ordering.at_positions(ordering.positions(e, ["taken", "id"]), [(10, 40)]), "id", "stack").select("id")
+
+
+@query("SELECT DISTINCT o_orderkey + o_custkey % 3 AS position FROM orders WHERE o_orderkey % 5 > 0 AND (o_orderkey BETWEEN 100 AND 4000 OR o_orderkey BETWEEN 9000 AND 9005) AND o_orderkey BETWEEN 50 AND 3000")
+def rebased_selection(t):
+    samples = t.orders.filter("o_orderkey % 5 > 0").select(F.col("o_orderkey").alias("was"), (F.col("o_orderkey") + F.col("o_custkey") % 3).alias("now"))
+    ranges = lambda *r: t.spark.createDataFrame(list(r), "start long, end long")
+    return ordering.rebase(ranges((100, 4000), (9000, 9005)), samples, ranges((50, 3000)))
 
 
 @query("WITH r AS (SELECT c_nationkey AS nation, c_custkey AS start, c_custkey + (c_acctbal / 100)::INT AS stop FROM customer WHERE c_acctbal >= 0), m AS (SELECT *, max(stop) OVER (PARTITION BY nation ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nation ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT nation, min(start) AS start, max(stop) AS stop FROM g GROUP BY nation, run")

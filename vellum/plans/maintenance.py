@@ -237,15 +237,16 @@ def scalar_functions(t):
 
 @query("SELECT user_id, event_type, arg_max(event_id, ts) AS event_id, arg_max(value, ts) AS value, max(ts) AS ts FROM events GROUP BY 1, 2")
 def streamed_merge(t):
-    graph.checkpointed(t.spark.range(0))  # sets the shared folder where it is unset
-    folder = f"{t.spark.sparkContext.getCheckpointDir()}/stream-{uuid.uuid4().hex}"
+    folder = f"{graph.shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
     t.events.repartition(3, "user_id").write.parquet(f"{folder}/log")
     stream = change_log.read_log(t.spark, f"{folder}/log", t.events.schema, 1)
     table = change_log.MergedTable(f"{folder}/table", ["user_id", "event_type"], "ts")
     run = table.start(stream, f"{folder}/progress")
     run.awaitTermination()
     last = max(p.batchId for p in run.recentProgress if p.numInputRows)
-    return table.read(t.spark, last).select("user_id", "event_type", "event_id", "value", "ts")
+    out = graph.checkpointed(table.read(t.spark, last).select("user_id", "event_type", "event_id", "value", "ts"))
+    graph.remove_folder(t.spark, folder)
+    return out
 
 
 @query("SELECT time_bucket(INTERVAL '1 hour', ts) AS start, user_id, arg_max(event_type, ts) AS event_type, count(*) AS n FROM events GROUP BY 1, 2")

@@ -87,7 +87,9 @@ def similarity_to_centre(t):
 
 @query()
 def clique_groups(t):
-    return similarity.clique_groups(t.embeddings, ["label"], ["vec_id"], "embedding", "vec_id", 0.2)
+    """Ids of a label that are at most 3 apart are a run."""
+    runs = sequence.gap_runs(t.embeddings, ["label"], F.col("vec_id"), ["vec_id"], 3)
+    return similarity.clique_groups(runs, ["label", "run"], ["vec_id"], "embedding", "vec_id", 0.2).select("vec_id", "label", "clique")
 
 
 @query()

@@ -13,26 +13,39 @@ def read_log(spark: SparkSession, folder: str, schema, files_per_batch: int = 10
 
 
 class MergedTable:
-    """A last-writer-wins table kept as Parquet versions: each micro-batch is merged with the version before and written as the next, so a batch that is
-    run again gives the same version."""
+    """A last-writer-wins table kept as Parquet in ``buckets`` by key. A micro-batch rewrites the buckets it touches and writes down which version each bucket is at
+    (at most ``buckets`` rows); other buckets stay as they are. A batch that is run again gives the same version, for it starts from the version before."""
 
-    def __init__(self, folder: str, keys: list[str], stamp: str):
-        self.folder, self.keys, self.stamp = folder.rstrip("/"), keys, stamp
+    def __init__(self, folder: str, keys: list[str], stamp: str, buckets: int = 64):
+        self.folder, self.keys, self.stamp, self.buckets = folder.rstrip("/"), keys, stamp, buckets
 
-    def _at(self, version: int) -> str:
-        return f"{self.folder}/v={version}"
+    def _versions(self, spark: SparkSession, version: int) -> dict[int, int]:
+        if version < 0:
+            return {}
+        return {r["bucket"]: r["at"] for r in spark.read.parquet(f"{self.folder}/versions/v={version}").collect()}
+
+    def _rows(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
+        return spark.read.parquet(*(f"{self.folder}/rows/v={at}/bucket={bucket}" for bucket, at in sorted(versions.items())))
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
         latest = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), self.stamp).alias("__row")).select("__row.*")
-        if batch_id > 0:
-            latest = changes.upsert(batch.sparkSession.read.parquet(self._at(batch_id - 1)), latest, self.keys, self.stamp)
-        latest.write.mode("overwrite").parquet(self._at(batch_id))
+        placed = latest.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
+        before = self._versions(spark, batch_id - 1)
+        old = {b: at for b, at in before.items() if b in touched}
+        if old:
+            latest = changes.upsert(self._rows(spark, old), latest, self.keys, self.stamp)
+            placed = latest.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
+        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/v={batch_id}")
+        now = {**before, **{b: batch_id for b in touched}}
+        spark.createDataFrame(sorted(now.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/v={batch_id}")
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def read(self, spark: SparkSession, version: int) -> DataFrame:
-        return spark.read.parquet(self._at(version))
+        return self._rows(spark, self._versions(spark, version))
 
 
 def coalesce_events(stream: DataFrame, keys: list[str], at: str, quiet: str, value: str) -> DataFrame:
@@ -40,8 +53,9 @@ def coalesce_events(stream: DataFrame, keys: list[str], at: str, quiet: str, val
     return stream.withWatermark(at, quiet).groupBy(F.window(at, quiet), *keys).agg(F.max_by(value, at).alias(value), F.count("*").alias("n")).select(F.col("window.start").alias("start"), *keys, value, "n")
 
 
-def running_counts(stream: DataFrame, keys: list[str]) -> DataFrame:
-    return stream.groupBy(*keys).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+def running_counts(stream: DataFrame, keys: list[str], at: str, every: str, late: str) -> DataFrame:
+    """Counts and totals of each key by window; what is older than ``late`` leaves the state."""
+    return stream.withWatermark(at, late).groupBy(F.window(at, every), *keys).agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), *keys, "n", "total")
 
 
 def tail(log: DataFrame, order: str, n: int = 512) -> DataFrame:
