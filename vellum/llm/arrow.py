@@ -2,15 +2,16 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..operators.graph import checkpointed
+
 #: Bytes that part words: space and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Entries a per-worker word table may hold before it starts anew.
@@ -58,18 +59,9 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     return df.mapInArrow(run, schema)
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir that all executors share; only where it is unset (as in tests) a local one is set."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return context.getCheckpointDir()
-
-
 def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and goes on from there, so that lost executors don't repeat what led to them."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    return checkpointed(df)
 
 
 def cut_dense(df: DataFrame, rows_per_task: int = 200_000) -> DataFrame:

@@ -23,7 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .arrow import cut, shared_folder
+from ..operators.graph import remove_folder, shared_folder
+from .arrow import cut
 from .tokens import WordTokenizer, default_tokenizer
 
 
@@ -104,9 +105,5 @@ def count_tokens(docs: DataFrame, tokenizer: str | None = None) -> DataFrame:
     written = write(docs, folder, tokenizer)
     found = scan(written.groupBy("file").agg(F.max("bytes").alias("bytes")))
     out = cut(written.join(found, ["file", "ordinal"]).select("doc_id", "n_tokens", "start", "terminated"))
-    system, at = _filesystem(folder)
-    from pyarrow import fs
-
-    if system.get_file_info(at).type == fs.FileType.Directory:
-        system.delete_dir(at)
+    remove_folder(docs.sparkSession, folder)
     return out
