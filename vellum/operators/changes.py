@@ -139,3 +139,39 @@ def owed(work: DataFrame, done: DataFrame, key: str, wanted: str, built_from: st
     """Work whose wanted stamp is newer than what was built, or that was never built."""
     built = done.groupBy(key).agg(F.max(built_from).alias("__built"))
     return work.join(built, key, "left").filter(F.col("__built").isNull() | (F.col(wanted) > F.col("__built"))).drop("__built")
+
+
+def to_hash(files: DataFrame, known: DataFrame, path: str, modified: str, size: str) -> DataFrame:
+    """Files whose content has to be read: new, or of another time or size than the catalogue has; a quick check that reads no content. Null times and sizes are equal to each other."""
+    was = known.select(path, F.col(modified).alias("__m"), F.col(size).alias("__s"), F.lit(True).alias("__known"))
+    joined = files.join(was, path, "left")
+    same = F.coalesce("__known", F.lit(False)) & F.col(modified).eqNullSafe(F.col("__m")) & F.col(size).eqNullSafe(F.col("__s"))
+    return joined.filter(~same).drop("__m", "__s", "__known")
+
+
+def set_fields(rows: DataFrame, chosen: DataFrame, key: str, values: dict[str, Column], stamp: str, at: Column) -> DataFrame:
+    """Rows with the chosen ones' fields set under one new stamp: marks, moves, binning and hiding are all this. A row that has the values already keeps its stamp."""
+    ids = chosen.select(F.col(key)).distinct().withColumn("__chosen", F.lit(True))
+    joined = rows.join(ids, key, "left")
+    new = {c: F.when(F.col("__chosen"), v).otherwise(F.col(c)) for c, v in values.items()}
+    differs = F.lit(False)
+    for c, v in new.items():
+        differs = differs | ~v.eqNullSafe(F.col(c))
+    return joined.withColumn(stamp, F.when(differs, at).otherwise(F.col(stamp))).withColumns(new).select(*rows.columns)
+
+
+def page_of_rows(log: DataFrame, rows: DataFrame, keys: list[str], order: list[str], after: tuple | None, limit: int = 500) -> DataFrame:
+    """The next page of a change feed with the current row of each key in it, read once a key; a key whose row is gone has null fields."""
+    from ..sources.catalogue import feed_page
+
+    page = feed_page(log, order, after, limit)
+    wanted = rows.join(page.select(*keys).distinct(), keys, "left_semi")
+    return page.join(wanted, keys, "left")
+
+
+def undo_history(steps: DataFrame, by: str, at: str, cursor: str, most: int) -> DataFrame:
+    """A document's steps (by, at, cursor: where the reader stands) as ``done`` or ``redo`` (steps after the cursor, which a new step drops), the newest ``most`` of them."""
+    from pyspark.sql import Window
+
+    place = F.row_number().over(Window.partitionBy(by).orderBy(F.col(at).desc()))
+    return steps.withColumn("__place", place).filter(F.col("__place") <= most).withColumn("state", F.when(F.col(at) <= F.col(cursor), "done").otherwise("redo")).drop("__place")

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry, paths, validity
 from ..operators import changes, descriptor, scan, sequence, sessions, similarity
+from ..sources import sidecar
 from .listings import PATHS, customer_paths
 from .photos import EDITS, SOURCES, edits, sources
 from .registry import query
@@ -283,6 +284,72 @@ def inverse_matrices(t):
     return t.supplier.select("s_suppkey", F.round(inverse[0], 6).alias("i0"), F.round(inverse[1], 6).alias("i1"), F.round(inverse[4], 6).alias("i4"))
 
 
+# scans that read little, sidecars, feeds and marks
+
+@query(f"SELECT c_custkey FROM {PATHS} JOIN customer USING (c_custkey) WHERE NOT (c_custkey % 3 > 0 AND (CASE WHEN c_custkey % 4 = 0 THEN 1 ELSE 5 END) = 5)")
+def files_to_hash(t):
+    files = customer_paths(t).select("c_custkey", "path", F.lit(5).alias("modified"), F.lit(None).cast("long").alias("size"))
+    known = files.filter("c_custkey % 3 > 0").select("path", F.when(F.col("c_custkey") % 4 == 0, 1).otherwise(5).alias("modified"), "size")
+    return changes.to_hash(files, known, "path", "modified", "size").select("c_custkey")
+
+
+@query("SELECT p_partkey, p_name AS title, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) END AS rating, NULL::VARCHAR AS label FROM part")
+def sidecar_fields(t):
+    xml = sidecar.document({"dc:title": F.col("p_name"), "xmp:Rating": F.when(F.col("p_size") % 2 == 0, F.col("p_size"))})
+    found = sidecar.fields(xml, {"title": "dc:title", "rating": "xmp:Rating", "label": "xmp:Label"})
+    return t.part.select("p_partkey", found.alias("f")).select("p_partkey", "f.*")
+
+
+@query("SELECT o_orderkey, CASE WHEN o_custkey % 5 = 0 THEN 'picked' ELSE o_orderstatus END AS mark, CASE WHEN o_custkey % 5 = 0 AND o_orderstatus <> 'picked' THEN 'new' ELSE 'old' END AS stamp FROM orders")
+def marked_rows(t):
+    rows = t.orders.select("o_orderkey", F.col("o_custkey").alias("stack"), F.col("o_orderstatus").alias("mark"), F.lit("old").alias("stamp"))
+    chosen = t.customer.filter("c_custkey % 5 = 0").select(F.col("c_custkey").alias("stack"))
+    return changes.set_fields(rows, chosen, "stack", {"mark": F.lit("picked")}, "stamp", F.lit("new")).select("o_orderkey", "mark", "stamp")
+
+
+@query("WITH p AS (SELECT event_id, user_id FROM events WHERE event_id > 1000 ORDER BY event_id LIMIT 300) SELECT p.event_id, p.user_id, c.c_name FROM p LEFT JOIN customer c ON c.c_custkey = p.user_id")
+def feed_page_with_rows(t):
+    log = t.events.select("event_id", "user_id")
+    return changes.page_of_rows(log, t.customer.select(F.col("c_custkey").cast("long").alias("user_id"), "c_name"), ["user_id"], ["event_id"], (1000,), 300)
+
+
+@query("SELECT user_id, event_id, CASE WHEN event_id <= user_id * 40 THEN 'done' ELSE 'redo' END AS state FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id DESC) AS place FROM events) WHERE place <= 20")
+def steps_to_undo_and_redo(t):
+    return changes.undo_history(t.events.select("user_id", "event_id", (F.col("user_id") * 40).alias("cursor")), "user_id", "event_id", "cursor", 20).select("user_id", "event_id", "state")
+
+
+@query("SELECT l_orderkey, l_linenumber, l_partkey FROM (SELECT *, row_number() OVER (PARTITION BY l_suppkey ORDER BY CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END, l_shipdate, l_orderkey, l_linenumber, l_partkey) AS place FROM lineitem) WHERE place <= 3")
+def transfers_to_pick(t):
+    """Of each device's queue the first three: pulls before pushes, then the oldest."""
+    from pyspark.sql import Window
+
+    from ..operators import ordering
+
+    w = Window.partitionBy("l_suppkey").orderBy(ordering.ranked_by(F.col("l_returnflag"), ["R", "A"]), "l_shipdate", "l_orderkey", "l_linenumber", "l_partkey")
+    return t.lineitem.withColumn("place", F.row_number().over(w)).filter("place <= 3").select("l_orderkey", "l_linenumber", "l_partkey")
+
+
+@query("SELECT event_id, json_type(props) AS kind, CASE WHEN json_type(a) = 'ARRAY' THEN json_array_length(a)::INT END AS n, CASE WHEN x IS NULL OR y IS NULL OR z IS NULL THEN NULL ELSE greatest(x, y, z) END AS most FROM (SELECT *, '[' || repeat('1,', (event_id % 4)::INT) || '2]' AS a, event_id % 5 AS x, nullif(user_id % 3, 0) AS y, floor(value)::BIGINT AS z FROM events)")
+def json_kinds_and_strict_greatest(t):
+    array = F.concat(F.lit("["), F.repeat(F.lit("1,"), (F.col("event_id") % 4).cast("int")), F.lit("2]"))
+    kind = F.upper(F.regexp_extract(F.schema_of_variant(F.parse_json("props")), "^([A-Za-z]+)", 1))
+    three = [F.col("event_id") % 5, F.nullif(F.col("user_id") % 3, F.lit(0)), F.floor("value")]
+    none = three[0].isNull() | three[1].isNull() | three[2].isNull()
+    return t.events.select("event_id", kind.alias("kind"), F.json_array_length(array).alias("n"), F.when(~none, F.greatest(*three)).alias("most"))
+
+
+@query("SELECT l_suppkey, max(l_extendedprice) AS most, arg_max(l_orderkey, (l_extendedprice, l_orderkey)) AS l_orderkey FROM lineitem GROUP BY 1")
+def row_of_the_maximum(t):
+    """What a group's other columns are where one measure is largest."""
+    return t.lineitem.groupBy("l_suppkey").agg(F.max("l_extendedprice").alias("most"), F.max_by("l_orderkey", F.struct("l_extendedprice", "l_orderkey")).alias("l_orderkey"))
+
+
+@query("WITH j AS (SELECT o_orderkey, '[' || o_custkey || ',' || o_orderkey || ']' AS a FROM orders) SELECT o_orderkey, i::INT AS place, (a::JSON->>i)::BIGINT AS value FROM j, range(2) r(i)")
+def json_array_items(t):
+    array = F.from_json(F.concat(F.lit("["), "o_custkey", F.lit(","), "o_orderkey", F.lit("]")), "array<long>")
+    return t.orders.select("o_orderkey", F.posexplode(array).alias("place", "value"))
+
+
 # descriptors: an embedding's 64 values are the 8 by 8 pixels of a picture
 
 PIXELS = "(SELECT vec_id, i % 8 AS x, i // 8 AS y, round(v * 1000) AS r FROM (SELECT vec_id, unnest(embedding) AS v, unnest(range(64)) AS i FROM embeddings))"
