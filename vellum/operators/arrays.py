@@ -1,4 +1,8 @@
-"""Numeric patterns: binned quantiles, least squares, stencils over tiles, and tables of values."""
+"""Numeric patterns: binned quantiles, least squares, stencils over tiles, and tables of values.
+
+Defined results: null values are left out everywhere, and NaN out of rank selection (in histograms it counts in the first bin); values beyond the span count in the end bins; a group without values has no
+row; a rank beyond the last gives None; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Snapshots, moves, upserts and last-writer-wins merges, each a pure function of tables."""
+"""Snapshots, moves, upserts and last-writer-wins merges, each a pure function of tables.
+
+Defined results: null keys match nothing in joins and are one key in aggregations; null stamps are older than any; of repeated rows with one key and stamp one stays; null contents are equal; changes to rows that
+aren't there are kept or left out as each function says; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

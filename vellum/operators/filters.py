@@ -1,4 +1,8 @@
-"""Predicates of a listing: scope clauses always hold together; chips hold together or one of them, as asked."""
+"""Predicates of a listing: scope clauses always hold together; chips hold together or one of them, as asked.
+
+Defined results: a null field matches no search, no list and no day unless ``or_null`` says so; row-value comparisons are unknown where the field that decides is null; ``having_all`` counts
+repeated tags once; no conditions keep all rows; repeated rows are kept each; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Listings: filtered, ordered, paged rows with stack collapse, totals, facets and day counts."""
+"""Listings: filtered, ordered, paged rows with stack collapse, totals, facets and day counts.
+
+Defined results: rows whose group is null stand for themselves; null facet values are left out and null days are a day of their own; a null measure isn't met; repeated rows count each; an
+empty table gives no rows, and totals of 0.
+"""
 
 from __future__ import annotations
 

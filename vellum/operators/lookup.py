@@ -1,4 +1,8 @@
-"""Joins by prefix, rule, identity and multiset, and top-1 look-ups."""
+"""Joins by prefix, rule, identity and multiset, and top-1 look-ups.
+
+Defined results: null paths and keys meet nothing; rows that repeat are kept each; a look-up without a match gives null, a count 0; null items belong to no set, so
+groups of null items alone have equal sets; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Orderings, pages, seeks and positions."""
+"""Orderings, pages, seeks and positions.
+
+Defined results: undated rows come last both ways, and null order columns last in positions; rows that tie on all order columns have adjacent positions in no fixed order, so orders end with
+a unique column; a null anchor date is after all dated rows; offsets and limits under 0 count as 0; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Runs over ordered rows: gap splits, brackets, representatives, budgets and ranks."""
+"""Runs over ordered rows: gap splits, brackets, representatives, budgets and ranks.
+
+Defined results: null groups are one group; rows with a null place come first and break no run; ties stand in the order of the columns given; null sizes add nothing; one row
+alone has rank level 0; empty tables give no rows.
+"""
 
 from __future__ import annotations
 

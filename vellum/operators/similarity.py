@@ -1,4 +1,8 @@
-"""Similarity over vectors: grouping of neighbours in time, and best matches between two sides."""
+"""Similarity over vectors: grouping of neighbours in time, and best matches between two sides.
+
+Defined results: rows without a vector match nothing and are in no group of two; a vector of zeros is alike to nothing (cosine 0); ties go to the smaller id; repeated rows are rows of their own; empty tables
+give no rows.
+"""
 
 from __future__ import annotations
 

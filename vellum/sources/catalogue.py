@@ -1,4 +1,8 @@
-"""Sources and sinks: folder listings, keyset change feeds, and rotated snapshots."""
+"""Sources and sinks: folder listings, keyset change feeds, and rotated snapshots.
+
+Defined results: an empty folder gives no files; files without an extension have no format; null identities are one identity; a feed page after the last row is empty; ties of a feed's order stand in no fixed
+order, so its order ends with a unique column.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,8 @@
-"""Change logs as streams: merged state by micro-batch, coalesced events, and running views."""
+"""Change logs as streams: merged state by micro-batch, coalesced events, and running views.
+
+Defined results: of rows with one key and stamp one stays; null keys are one key; a batch without rows leaves the table as it is; events later than the watermark are dropped from windows, not from the
+merged table, which takes them in any order.
+"""
 
 from __future__ import annotations
 
