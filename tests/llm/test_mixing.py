@@ -62,3 +62,12 @@ def test_rows_without_an_id_or_of_one_id_are_drawn_by_their_texts(spark):
         assert abs(r["taken"] - r["target"]) <= 5
     assert abs(mixing.repeat_rows(df).count() * 5 - 1.5 * 5 * 1300) <= 10
     assert mixing.repeat_rows(df).filter("doc_id IS NULL").select("text").distinct().count() > 300
+
+
+def test_many_sources_are_joined_with_the_same_result(spark, monkeypatch):
+    df = docs(spark, {"a": 40, "b": 9, None: 5, "c": 25})
+    want = sorted((r["doc_id"], r["taken"]) for r in mixing.mix(df).collect())
+    copies = sorted(r["doc_id"] for r in mixing.repeat_rows(df).collect())
+    monkeypatch.setattr(mixing, "SENT_SOURCES", 2)
+    assert sorted((r["doc_id"], r["taken"]) for r in mixing.mix(df).collect()) == want
+    assert sorted(r["doc_id"] for r in mixing.repeat_rows(df).collect()) == copies

@@ -1,3 +1,4 @@
+import functools
 import zlib
 
 import numpy as np
@@ -12,9 +13,13 @@ from .helpers import edge_docs, empty_docs
 TEXTS = ["", "It's I'LL don't!'s 12a3 b\x1cq\x85z", "éa ́b ß ﬁ ª µ × ÷ 漢字 \U0001f600x", "foo<|endoftext|>bar  a\nb\tc", "İstanbul Σίσυφος", "STRASSE straße ÀÖØÞ"]
 
 
+@functools.cache
+def tokenizer():
+    return Tokenizer.from_file(default_tokenizer())
+
+
 def whole_ids(text):
-    t = Tokenizer.from_file(default_tokenizer())
-    return t.encode(text or "", add_special_tokens=False).ids
+    return tokenizer().encode(text or "", add_special_tokens=False).ids
 
 
 def test_word_table_gives_the_ids_of_whole_texts():

@@ -6,7 +6,8 @@ sources not yet clamped reach together, so one pass over the sources by capacity
 
 ``mix`` takes whole repetitions of every document of a source and, for the fraction left, one more of the documents
 whose seeded digest (of id and text, for ids may be null or shared) lies below a cut. The cut is found from the sizes by (source, digest range): 65,536 ranges for each
-source, counted map-side before any shuffle, so a source with a third of all rows is no task's burden.
+source, counted map-side before any shuffle, so a source with a third of all rows is no task's burden. Documents meet their source's plan where they are, as long as
+the plan's size, which is checked, allows to send it to every task; they are never shuffled by source unless there are very many sources.
 
 Defined results: null text has size 0; the null source is a source, last by code point; documents of size 0 take 0;
 rows equal in id and text share a digest and are taken alike; an empty table gives no rows; other columns are ignored.
@@ -69,11 +70,20 @@ def plan_sources(sized: DataFrame, weights: tuple[int, ...] = (5, 2, 1), share:
     )
 
 
+#: Rows of a plan up to which it is sent to every task, some 10 MB; a plan of more sources is joined by shuffle.
+SENT_SOURCES = 100_000
+
+
+def _beside_rows(plan: DataFrame) -> DataFrame:
+    plan = cut(plan)
+    return F.broadcast(plan) if plan.limit(SENT_SOURCES + 1).count() <= SENT_SOURCES else plan
+
+
 def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """doc_id, size, source, source_size, target and taken (words, repeats counted) for each row of ``docs``; ``options`` as ``plan_sources`` has them."""
     sized = cut(docs.select("doc_id", "source", n_words(F.col("text")).alias("size"), digest_range(seed, F.col("doc_id"), F.col("text")).alias("range")))
     copies = F.col("whole") + (F.col("range") <= F.col("cut")).cast("long")
-    return sized.alias("d").join(plan_sources(sized, **options).alias("c"), F.expr("d.source <=> c.source")).select(
+    return sized.alias("d").join(_beside_rows(plan_sources(sized, **options)).alias("c"), F.expr("d.source <=> c.source")).select(
         "doc_id", F.col("size"), F.col("d.source").alias("source"), "source_size", "target", (F.col("size") * copies).alias("taken"), copies.alias("copies")
     )
 
@@ -81,9 +91,9 @@ def mix(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
 def repeat_rows(docs: DataFrame, seed: int = 0, **options) -> DataFrame:
     """The mix itself: the rows of ``docs`` with their columns, each as often as the mix takes it. Each row finds its source's plan; rows don't meet by id."""
     drawn = digest_range(seed, F.col("doc_id"), F.col("text"))
-    plan = cut(plan_sources(docs.select("source", n_words(F.col("text")).alias("size"), drawn.alias("range")), **options))
+    plan = plan_sources(docs.select("source", n_words(F.col("text")).alias("size"), drawn.alias("range")), **options)
     rows = docs.select(F.struct(*docs.columns).alias("d"), drawn.alias("range"))
-    taken = rows.join(plan.withColumnRenamed("source", "s"), F.expr("d.source <=> s")).withColumn("copies", (F.col("whole") + (F.col("range") <= F.col("cut")).cast("long")).cast("int"))
+    taken = rows.join(_beside_rows(plan.withColumnRenamed("source", "s")), F.expr("d.source <=> s")).withColumn("copies", (F.col("whole") + (F.col("range") <= F.col("cut")).cast("long")).cast("int"))
     return taken.filter("copies > 0").select("d", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("d.*")
 
 
