@@ -15,7 +15,9 @@ from ..operators.graph import checkpointed
 #: Bytes that part words: space and \x09-\x0D.
 SPACES = b" \t\n\x0b\x0c\r"
 #: Entries a per-worker word table may hold before it starts anew.
-CACHE_ENTRIES = 400_000
+CACHE_ENTRIES = 200_000
+#: Rows that a function over Arrow batches gets at once, which bounds what it holds as Python objects.
+STEP_ROWS = 400
 
 
 class WordTable(dict):
@@ -51,8 +53,8 @@ def map_batches(df: DataFrame, make: Callable[[], Callable[[dict[str, list]], di
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         step = make()
         for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.slice(at, 1000)
+            for at in range(0, batch.num_rows, STEP_ROWS):
+                part = batch.slice(at, STEP_ROWS)
                 out = step({name: part.column(i).to_pylist() for i, name in enumerate(part.schema.names)})
                 yield pa.RecordBatch.from_arrays([pa.array(out[f.name], type=f.type) for f in target], schema=target)
 
