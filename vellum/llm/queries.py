@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, dedup, html, language, licenses, mixing, packing, quality, token_files, topk
+from . import chat, codebooks, dedup, html, language, licenses, mixing, packing, pieces, quality, token_files, topk
 
 
 def op1_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,6 +66,18 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(spark.read.parquet(f"{sf_dir}/documents.parquet"))
 
 
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.repair_digests(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
+def op12_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pieces.digests(pieces.decode(pieces.encode(spark.read.parquet(f"{sf_dir}/documents.parquet"))))
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.vector_codes(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_chat_formatting": op1_chat_formatting,
     "op2_source_mixing": op2_source_mixing,
@@ -77,9 +89,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_license_scan": op8_license_scan,
     "op9_exact_top_k": op9_exact_top_k,
     "op10_best_fit_packing": op10_best_fit_packing,
+    "op12_sentencepiece": op12_sentencepiece,
+    "op13_vector_codes": op13_vector_codes,
 }
 ORACLES: dict[str, str] = {
     "op1_chat_formatting": chat.CHAT_SQL,
     "op2_source_mixing": mixing.MIX_SQL,
     "op9_exact_top_k": topk.TOPK_SQL,
+    "op13_vector_codes": codebooks.codes_sql(),
 }
