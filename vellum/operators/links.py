@@ -43,3 +43,24 @@ def shared_labels(members: DataFrame, labels: DataFrame, removals: DataFrame) ->
     later = F.col("__removed") > F.col("__added")
     action = F.when(later & ~lacking, "remove").when(~later & lacking, "add")
     return judged.select("id", "label", action.alias("action")).filter("action IS NOT NULL")
+
+
+def swaps_into_stacks(members: DataFrame, stacks: DataFrame) -> DataFrame:
+    """(id, stack_id): where the members of groups with a new link go. Every camera file leaves its stack; the group's RAW of the least id takes a place it leaves if it is in none and was never taken
+    out of one, or only in a detected stack while that one is a person's: in the end the first person's stack by the files' ids, else the first.
+
+    ``members``: group, id, is_raw, stack_id, unstacked. ``stacks``: stack_id, manual. Groups without a RAW change nothing; a null ``unstacked`` is false; stacks that aren't there count as detected."""
+    placed = members.join(stacks.select("stack_id", F.col("manual").alias("__manual")), "stack_id", "left").withColumn("__manual", F.coalesce("__manual", F.lit(False)))
+    raw = F.min_by(F.struct("id", "stack_id", F.coalesce("unstacked", F.lit(False)).alias("out"), F.col("__manual").alias("manual")), F.when(F.col("is_raw"), F.col("id")))
+    held = ~F.col("is_raw") & F.col("stack_id").isNotNull()
+    first = F.min_by(F.struct("stack_id", F.col("__manual").alias("manual")), F.when(held, F.struct(~F.col("__manual"), "id")))
+    judged = placed.groupBy("group").agg(raw.alias("raw"), first.alias("first")).filter("raw IS NOT NULL AND first IS NOT NULL")
+    takes = F.when(F.col("raw.stack_id").isNull(), ~F.col("raw.out")).otherwise(~F.col("raw.manual") & F.col("first.manual"))
+    moved = judged.filter(takes).select(F.col("raw.id").alias("id"), F.col("first.stack_id").alias("stack_id"))
+    left = members.filter(held).join(judged, "group", "left_semi").select("id", F.lit(None).cast(dict(members.dtypes)["stack_id"]).alias("stack_id"))
+    return left.unionByName(moved)
+
+
+def spent_stacks(rows: DataFrame) -> DataFrame:
+    """Stacks (stack_id of rows) that have fewer than two members left."""
+    return rows.filter("stack_id IS NOT NULL").groupBy("stack_id").agg(F.count("*").alias("members")).filter("members < 2")

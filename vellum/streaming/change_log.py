@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes
+from .buckets import BucketTable
 
 
 def read_log(spark: SparkSession, folder: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -17,39 +18,26 @@ def read_log(spark: SparkSession, folder: str, schema, files_per_batch: int = 10
 
 
 class MergedTable:
-    """A last-writer-wins table kept as Parquet in ``buckets`` by key. A micro-batch rewrites the buckets it touches and writes down which version each bucket is at
-    (at most ``buckets`` rows); other buckets stay as they are. A batch that is run again gives the same version, for it starts from the version before."""
+    """A last-writer-wins table in ``buckets`` by key (``BucketTable``): a micro-batch rewrites the buckets it touches. A batch that is run again gives the same version, for it starts from the version before.
+    ``keep`` versions stay readable; row files that only older ones name are removed as a batch ends."""
 
-    def __init__(self, folder: str, keys: list[str], stamp: str, buckets: int = 64):
-        self.folder, self.keys, self.stamp, self.buckets = folder.rstrip("/"), keys, stamp, buckets
-
-    def _versions(self, spark: SparkSession, version: int) -> dict[int, int]:
-        if version < 0:
-            return {}
-        return {r["bucket"]: r["at"] for r in spark.read.parquet(f"{self.folder}/versions/v={version}").collect()}
-
-    def _rows(self, spark: SparkSession, versions: dict[int, int]) -> DataFrame:
-        return spark.read.parquet(*(f"{self.folder}/rows/v={at}/bucket={bucket}" for bucket, at in sorted(versions.items())))
+    def __init__(self, folder: str, keys: list[str], stamp: str, buckets: int = 64, keep: int = 16):
+        self.table, self.keys, self.stamp, self.keep = BucketTable(folder, keys, None, buckets), keys, stamp, keep
 
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), self.stamp).alias("__row")).select("__row.*")
-        placed = latest.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-        touched = {r["bucket"] for r in placed.select("bucket").distinct().collect()}
-        before = self._versions(spark, batch_id - 1)
-        old = {b: at for b, at in before.items() if b in touched}
-        if old:
-            latest = changes.upsert(self._rows(spark, old), latest, self.keys, self.stamp)
-            placed = latest.withColumn("bucket", F.pmod(F.xxhash64(*self.keys), F.lit(self.buckets)).cast("int"))
-        placed.write.mode("overwrite").partitionBy("bucket").parquet(f"{self.folder}/rows/v={batch_id}")
-        now = {**before, **{b: batch_id for b in touched}}
-        spark.createDataFrame(sorted(now.items()), "bucket int, at long").coalesce(1).write.mode("overwrite").parquet(f"{self.folder}/versions/v={batch_id}")
+        touched, before = self.table.touched(latest), self.table.before(spark, batch_id)
+        if touched & set(self.table.named(spark, before)):
+            latest = changes.upsert(self.table.read(spark, before, touched), latest, self.keys, self.stamp)
+        self.table.write(latest, touched, batch_id)
+        self.table.clean(spark, batch_id - self.keep)
 
     def start(self, stream: DataFrame, checkpoint: str):
         return stream.writeStream.foreachBatch(self.apply).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     def read(self, spark: SparkSession, version: int) -> DataFrame:
-        return self._rows(spark, self._versions(spark, version))
+        return self.table.read(spark, version)
 
 
 def coalesce_events(stream: DataFrame, keys: list[str], at: str, quiet: str, value: str) -> DataFrame:
