@@ -1,4 +1,4 @@
 """Named queries; importing this package registers them."""
 
-from . import listings, maintenance, photos, relations, scans, sequences  # noqa: F401
+from . import listings, live, maintenance, photos, relations, scans, sequences  # noqa: F401
 from .registry import ORACLES, QUERIES  # noqa: F401
