@@ -71,3 +71,7 @@ def test_one_rule_for_all_lengths():
         name, margin = tools.judge(words[:n])
         assert name == "en" and 0 <= margin < 1
         assert tools.sizes(words[:n]).shape == (2,)
+
+
+def test_numerals_are_no_letters():
+    assert [language.has_letter(t) for t in ("½", "²", "Ⅷ", "", "1_2", "½ é", "ß", "字")] == [False] * 5 + [True] * 3

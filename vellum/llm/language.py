@@ -26,10 +26,15 @@ from pyspark.sql import functions as F
 
 from .arrow import map_batches
 
-_LETTER = re.compile(r"[^\W\d_]")
+_LETTER_OR_NUMBER = re.compile(r"[^\W\d_]")
 _WORD = re.compile(rb"\S+")
 
 
+def has_letter(text: str) -> bool:
+    """Whether a text has a letter; numerals such as fractions and Roman ones are none."""
+    return any(m[0].isalpha() for m in _LETTER_OR_NUMBER.finditer(text))
+
+
 @dataclass
 class Languages:
     """Raw-content dictionaries by language, and the margin that a sure text has at least."""
@@ -88,7 +93,7 @@ def learn(
     if len(parts) > 1:
         tools = Compressors(dictionaries, level, block_bytes)
         for lang, ps in parts.items():
-            judged = [tools.judge(p) for p in ps[aside - 1 :: aside] if _LETTER.search(p.decode("utf-8", "replace"))]
+            judged = [tools.judge(p) for p in ps[aside - 1 :: aside] if has_letter(p.decode("utf-8", "replace"))]
             margins += [margin if said == lang else 0.0 for said, margin in judged]
     return Languages(dictionaries, max(least_margin, float(np.quantile(margins, 0.05)) / 3 if margins else 0.0))
 
@@ -102,7 +107,7 @@ def classify(docs: DataFrame, languages: Languages, level: int = 6, block_bytes:
         tools = Compressors(learned.dictionaries, level, block_bytes)
 
         def judge(text):
-            if text is None or not tools.names or not _LETTER.search(text):
+            if text is None or not tools.names or not has_letter(text):
                 return "und", 0.0, True
             name, margin = tools.judge(text.lower().encode("utf-8", "replace"))
             return name, margin, margin < learned.margin
