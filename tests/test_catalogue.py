@@ -239,9 +239,9 @@ def test_alike_against_plain_loops():
                 if far(ox, oy) < best[0]:
                     best = (far(ox, oy), ox, oy)
         _, ox, oy = best
-        kept = int(window * window * descriptor.KEEP)
+        kept = int(window * window * descriptor.AGREEING_CELLS)
         t = [sum(sorted(abs(part(a, i, k)[pad + y][pad + x] - part(b, j, k)[2 * oy + y][2 * ox + x]) for y in range(window) for x in range(window))[:kept]) / kept / 255 for k in (1, 2, 3)]
-        w = descriptor.CHROMA_WEIGHT
+        w = descriptor.COLOUR_PART
         return (1 - w) * (1 - 3 * t[0]) + w * (1 - 1.5 * (t[1] + t[2]))
 
     for _ in range(12):

@@ -13,9 +13,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Luma weights, and how the parts of a comparison weigh.
+#: Luma weights, the closer view's share of the extent, the share of cells that a distance is taken over, and how much of a score colour makes.
 LUMA = (0.2126, 0.7152, 0.0722)
-KEEP, CHROMA_WEIGHT = 0.8, 0.25
+CLOSER_VIEW, AGREEING_CELLS, COLOUR_PART = 0.78, 0.75, 0.3
 
 
 def cell(at: Column, extent: int, crop: float, side: int) -> Column:
@@ -25,7 +25,7 @@ def cell(at: Column, extent: int, crop: float, side: int) -> Column:
     return F.when(at.between(first, first + width - 1), F.floor((at - first) * side / width).cast("int"))
 
 
-def cell_means(pixels: DataFrame, by: list[str], width: int, height: int, side: int, crops: tuple[float, ...] = (1.0, 0.8)) -> DataFrame:
+def cell_means(pixels: DataFrame, by: list[str], width: int, height: int, side: int, crops: tuple[float, ...] = (1.0, CLOSER_VIEW)) -> DataFrame:
     """(by, view, cell, r, g, b): channel means of each cell of a grid of ``side`` by ``side``, of ``pixels`` (by, x, y, r, g, b). Views are counted in one pass."""
     views = F.array(*(F.struct(F.lit(i).alias("view"), cell(F.col("x"), width, c, side).alias("cx"), cell(F.col("y"), height, c, side).alias("cy")) for i, c in enumerate(crops)))
     placed = pixels.select(*by, "r", "g", "b", F.inline(views)).filter("cx IS NOT NULL AND cy IS NOT NULL")
@@ -63,7 +63,7 @@ def _windows(grid: np.ndarray, size: int) -> np.ndarray:
 
 def alike(a: np.ndarray, b: np.ndarray, side: int, window: int) -> float:
     """How alike two descriptors are, 0 to 1: the best of whole with whole and whole with either's crop, and of either as the one that moves. The shift is found on
-    the coarse luma (no shift wins a tie) and judged once on the others, by the best-agreeing KEEP of the cells."""
+    the coarse luma (no shift wins a tie) and judged once on the others, by the best-agreeing cells."""
     half, cells = side // 2, side * side
     view = half * half + 3 * cells
     if a is None or b is None or len(a) != 2 * view or len(b) != 2 * view:
@@ -74,17 +74,17 @@ def alike(a: np.ndarray, b: np.ndarray, side: int, window: int) -> float:
         d = np.asarray(d, np.int32)[v * view : (v + 1) * view]
         return d[: half * half].reshape(half, half), d[half * half :].reshape(3, side, side)
 
-    def directed(x, y):
+    def shifted(x, y):
         pad, coarse_pad = (side - window) // 2, (half - coarse_window) // 2
         centre = x[0][coarse_pad : coarse_pad + coarse_window, coarse_pad : coarse_pad + coarse_window]
         far = np.abs(_windows(y[0], coarse_window)[: 2 * coarse_pad + 1, : 2 * coarse_pad + 1] - centre).sum(axis=(2, 3))
         oy, ox = np.unravel_index(np.argmin(far), far.shape) if far.min() < far[coarse_pad, coarse_pad] else (coarse_pad, coarse_pad)
-        kept = max(1, int(window * window * KEEP))
+        kept = max(1, int(window * window * AGREEING_CELLS))
         parts = [np.sort(np.abs(p[pad : pad + window, pad : pad + window] - q[2 * oy : 2 * oy + window, 2 * ox : 2 * ox + window]).ravel())[:kept].sum() / kept / 255 for p, q in zip(x[1], y[1])]
-        return (1 - CHROMA_WEIGHT) * (1 - 3 * parts[0]) + CHROMA_WEIGHT * (1 - 1.5 * (parts[1] + parts[2]))
+        return (1 - COLOUR_PART) * (1 - 3 * parts[0]) + COLOUR_PART * (1 - 1.5 * (parts[1] + parts[2]))
 
     pairs = [(grids(a, i), grids(b, j)) for i, j in ((0, 0), (0, 1), (1, 0))]
-    return float(np.clip(max(max(directed(x, y), directed(y, x)) for x, y in pairs), 0, 1))
+    return float(np.clip(max(max(shifted(x, y), shifted(y, x)) for x, y in pairs), 0, 1))
 
 
 def similarity(pairs: DataFrame, a: str, b: str, side: int, window: int) -> DataFrame:

@@ -33,15 +33,16 @@ def folder_changes(shoots: DataFrame, dirs: DataFrame, files: DataFrame, full: b
 
 def bin_by_identity(dirs: DataFrame, bins: DataFrame, files: DataFrame, binned: DataFrame) -> DataFrame:
     """What became of each library's bin (library_id, path, dev, ino), by the directories (library_id, path, dev, ino) that carry its identity: ``kept`` where none does
-    or it stands where it was, ``ambiguous`` where several do, ``renamed`` with its new path (``target``) where one does that holds a binned file (library_id,
+    (an unknown identity and inode 0, which a file system without inodes gives, are no one's) or it stands where it was, ``ambiguous`` where several do or one below another folder, for a bin is a name in the root, ``renamed`` with its new path (``target``) where one does that holds a binned file (library_id,
     path) under its name of old, else ``stranger``."""
     found = dirs.dropDuplicates(["library_id", "path"]).select("library_id", F.col("path").alias("__at"), "dev", "ino")
-    met = bins.join(found, ["library_id", "dev", "ino"]).groupBy("library_id").agg(F.count("*").alias("__n"), F.min("__at").alias("target"), F.bool_or(F.col("__at") == F.col("path")).alias("__same"))
+    met = bins.filter("ino <> 0").join(found, ["library_id", "dev", "ino"]).groupBy("library_id").agg(F.count("*").alias("__n"), F.min("__at").alias("target"), F.bool_or(F.col("__at") == F.col("path")).alias("__same"))
     tails = binned.join(bins.select("library_id", F.col("path").alias("__bin")), "library_id").filter(paths.below(F.col("path"), F.col("__bin")))
     tails = tails.select("library_id", F.substr("path", F.length("__bin") + 1).alias("__tail"))
-    holds = tails.join(met.filter("__n = 1"), "library_id").select("library_id", F.concat("target", "__tail").alias("path")).join(files, ["library_id", "path"], "left_semi").select("library_id", F.lit(True).alias("__holds")).distinct()
+    lone = (F.col("__n") == 1) & (F.instr("target", "/") == 0)
+    holds = tails.join(met.filter(lone), "library_id").select("library_id", F.concat("target", "__tail").alias("path")).join(files, ["library_id", "path"], "left_semi").select("library_id", F.lit(True).alias("__holds")).distinct()
     out = bins.join(met, "library_id", "left").join(holds, "library_id", "left")
-    what = F.when(F.col("__n").isNull() | ((F.col("__n") == 1) & F.col("__same")), "kept").when(F.col("__n") > 1, "ambiguous").when(F.col("__holds"), "renamed").otherwise("stranger")
+    what = F.when(F.col("__n").isNull() | ((F.col("__n") == 1) & F.col("__same")), "kept").when(~lone, "ambiguous").when(F.col("__holds"), "renamed").otherwise("stranger")
     return out.select("library_id", "path", what.alias("became"), F.when(what == "renamed", F.col("target")).alias("target"))
 
 

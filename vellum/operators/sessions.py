@@ -57,12 +57,15 @@ def restamp_renditions(renditions: DataFrame, edits: DataFrame, at: Column) -> D
     return renditions.join(e, "photo_id", "left").withColumn("built_from", F.when(F.coalesce(current, F.lit(False)), at).otherwise(F.col("built_from"))).drop("__edit")
 
 
-def vouch(renditions: DataFrame, vouched: DataFrame, sources: DataFrame, edits: DataFrame) -> DataFrame:
-    """Renditions (photo_id, built_from) of vouched documents (photo_id, stamp: the state whose picture the standing one has too), and of composites they are frames of:
-    one built from exactly the old state is at the standing stamp. What is behind a row is the newest of its own and its frames' edits."""
+def vouch(renditions: DataFrame, vouched: DataFrame, sources: DataFrame, edits: DataFrame, placements: DataFrame) -> DataFrame:
+    """Renditions (photo_id, built_from, built_at) of vouched documents (photo_id, stamp: the state whose picture the standing one has too), and of composites they are frames of:
+    one that was built, and from exactly the old state, is at the standing stamp. What is behind a row is the newest of its own and its frames' edits and, of a composite, of its placement
+    (``placements``: photo_id, stamp). Null stamps are older than any."""
     behind = sources.select(F.col("composed_id").alias("row"), "photo_id").unionByName(edits.select(F.col("photo_id").alias("row"), "photo_id")).distinct()
     old = edits.join(vouched.select("photo_id", F.col("stamp").alias("__was"), F.lit(True).alias("__v")), "photo_id", "left")
-    stamps = behind.join(old, "photo_id").groupBy("row").agg(F.max("stamp").alias("__now"), F.max(F.when(F.col("__v"), F.col("__was")).otherwise(F.col("stamp"))).alias("__then"), F.bool_or(F.coalesce("__v", F.lit(False))).alias("__touched"))
+    each = behind.join(old, "photo_id").select("row", F.col("stamp").alias("__now"), F.when(F.col("__v"), F.col("__was")).otherwise(F.col("stamp")).alias("__then"), F.coalesce("__v", F.lit(False)).alias("__touched"))
+    placed = placements.join(sources.select(F.col("composed_id").alias("photo_id")).distinct(), "photo_id", "left_semi").select(F.col("photo_id").alias("row"), F.col("stamp").alias("__now"), F.col("stamp").alias("__then"), F.lit(False).alias("__touched"))
+    stamps = each.unionByName(placed).groupBy("row").agg(F.max("__now").alias("__now"), F.max("__then").alias("__then"), F.bool_or("__touched").alias("__touched"))
     joined = renditions.join(stamps.withColumnRenamed("row", "photo_id"), "photo_id", "left")
-    same = F.coalesce("__touched", F.lit(False)) & F.col("built_from").eqNullSafe(F.col("__then"))
+    same = F.coalesce("__touched", F.lit(False)) & F.col("built_at").isNotNull() & F.col("built_from").eqNullSafe(F.col("__then"))
     return joined.withColumn("built_from", F.when(same, F.col("__now")).otherwise(F.col("built_from"))).drop("__now", "__then", "__touched")

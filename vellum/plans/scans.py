@@ -41,20 +41,20 @@ def shoot_folder_changes(t):
     return scan.folder_changes(shoot_rows(t), dir_rows(t), customer_paths(t).select("path"), full=True)
 
 
-BINS = "(SELECT n_nationkey AS library_id, 'bin' AS path, n_nationkey % 4 AS dev, 7 AS ino FROM nation)"
-BIN_DIRS = "(SELECT n_nationkey AS library_id, CASE n_nationkey % 5 WHEN 0 THEN 'bin' ELSE lower(n_name) END AS path, n_nationkey % 4 AS dev, 7 AS ino FROM nation WHERE n_nationkey % 6 > 0 UNION ALL SELECT n_nationkey, 'copy', n_nationkey % 4, 7 FROM nation WHERE n_nationkey % 7 = 0)"
+BINS = "(SELECT n_nationkey AS library_id, 'bin' AS path, n_nationkey % 4 AS dev, CASE WHEN n_nationkey % 11 = 4 THEN 0 ELSE 7 END AS ino FROM nation)"
+BIN_DIRS = "(SELECT n_nationkey AS library_id, CASE WHEN n_nationkey % 5 = 0 THEN 'bin' WHEN n_nationkey % 8 = 3 THEN 'deep/' || lower(n_name) ELSE lower(n_name) END AS path, n_nationkey % 4 AS dev, CASE WHEN n_nationkey % 11 = 4 THEN 0 ELSE 7 END AS ino FROM nation WHERE n_nationkey % 6 > 0 UNION ALL SELECT n_nationkey, 'copy', n_nationkey % 4, CASE WHEN n_nationkey % 11 = 4 THEN 0 ELSE 7 END FROM nation WHERE n_nationkey % 7 = 0)"
 BINNED = "(SELECT c_nationkey AS library_id, 'bin/' || c_name AS path FROM customer WHERE c_custkey % 10 = 0)"
 BIN_FILES = "(SELECT c_nationkey AS library_id, lower(n_name) || '/' || c_name AS path FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_custkey % 20 = 0 AND c_nationkey % 3 > 0)"
 
 
-@query(f"""WITH m AS (SELECT library_id, count(*) AS n, min(d.path) AS target, bool_or(d.path = b.path) AS same FROM {BINS} b JOIN {BIN_DIRS} d USING (library_id, dev, ino) GROUP BY 1),
+@query(f"""WITH m AS (SELECT library_id, count(*) AS n, min(d.path) AS target, bool_or(d.path = b.path) AS same FROM {BINS} b JOIN {BIN_DIRS} d USING (library_id, dev, ino) WHERE ino <> 0 GROUP BY 1),
 j AS (SELECT b.library_id, b.path, m.n, m.target, m.same, EXISTS (SELECT 1 FROM {BINNED} x JOIN {BIN_FILES} f ON f.library_id = x.library_id AND f.path = m.target || substr(x.path, length(b.path) + 1) WHERE x.library_id = b.library_id AND starts_with(x.path, b.path || '/')) AS holds FROM {BINS} b LEFT JOIN m USING (library_id)),
-w AS (SELECT *, CASE WHEN n IS NULL OR (n = 1 AND same) THEN 'kept' WHEN n > 1 THEN 'ambiguous' WHEN holds THEN 'renamed' ELSE 'stranger' END AS became FROM j)
+w AS (SELECT *, CASE WHEN n IS NULL OR (n = 1 AND same) THEN 'kept' WHEN n > 1 OR contains(target, '/') THEN 'ambiguous' WHEN holds THEN 'renamed' ELSE 'stranger' END AS became FROM j)
 SELECT library_id, path, became, CASE WHEN became = 'renamed' THEN target END AS target FROM w""")
 def renamed_bins(t):
-    n = t.nation.select(F.col("n_nationkey").alias("library_id"), F.lower("n_name").alias("name"), (F.col("n_nationkey") % 4).alias("dev"), F.lit(7).alias("ino"))
+    n = t.nation.select(F.col("n_nationkey").alias("library_id"), F.lower("n_name").alias("name"), (F.col("n_nationkey") % 4).alias("dev"), F.when(F.col("n_nationkey") % 11 == 4, 0).otherwise(7).alias("ino"))
     bins = n.select("library_id", F.lit("bin").alias("path"), "dev", "ino")
-    dirs = n.filter("library_id % 6 > 0").select("library_id", F.when(F.col("library_id") % 5 == 0, "bin").otherwise(F.col("name")).alias("path"), "dev", "ino")
+    dirs = n.filter("library_id % 6 > 0").select("library_id", F.when(F.col("library_id") % 5 == 0, "bin").when(F.col("library_id") % 8 == 3, F.concat(F.lit("deep/"), "name")).otherwise(F.col("name")).alias("path"), "dev", "ino")
     dirs = dirs.unionByName(n.filter("library_id % 7 = 0").select("library_id", F.lit("copy").alias("path"), "dev", "ino"))
     c = t.customer.select(F.col("c_nationkey").alias("library_id"), "c_custkey", "c_name")
     binned = c.filter("c_custkey % 10 = 0").select("library_id", F.concat(F.lit("bin/"), "c_name").alias("path"))
@@ -190,14 +190,18 @@ def restamped_catalogue(t):
 
 
 @query(f"""WITH b AS (SELECT composed_id AS r, photo_id FROM {SOURCES} UNION SELECT photo_id, photo_id FROM {EDITS}),
+p AS (SELECT o_orderkey AS photo_id, '00000' || lpad(CAST(o_custkey % 997 AS VARCHAR), 3, '0') AS stamp FROM orders WHERE o_orderkey % 3 = 0),
 s AS (SELECT b.r AS photo_id, max(e.stamp) AS now, max(CASE WHEN e.photo_id % 5 = 0 THEN '00000' || right(e.stamp, 3) ELSE e.stamp END) AS was, bool_or(e.photo_id % 5 = 0) AS touched FROM b JOIN {EDITS} e USING (photo_id) GROUP BY 1),
-r AS (SELECT o_orderkey AS photo_id, '00000' || lpad(CAST(o_orderkey % 997 AS VARCHAR), 3, '0') AS built_from FROM orders)
-SELECT r.photo_id, CASE WHEN s.touched AND r.built_from = s.was THEN s.now ELSE r.built_from END AS built_from FROM r LEFT JOIN s USING (photo_id)""")
+q AS (SELECT s.photo_id, touched, greatest(now, p.stamp) AS now, greatest(was, p.stamp) AS was FROM s LEFT JOIN p ON p.photo_id = s.photo_id AND s.photo_id IN (SELECT composed_id FROM {SOURCES})),
+r AS (SELECT o_orderkey AS photo_id, CASE WHEN o_orderkey % 2 = 0 THEN '00000' || lpad(CAST(o_orderkey % 997 AS VARCHAR), 3, '0') ELSE '00000' || lpad(CAST(o_custkey % 997 AS VARCHAR), 3, '0') END AS built_from, CASE WHEN o_orderkey % 7 > 0 THEN 1 END AS built_at FROM orders)
+SELECT r.photo_id, CASE WHEN q.touched AND built_at IS NOT NULL AND r.built_from = q.was THEN q.now ELSE r.built_from END AS built_from FROM r LEFT JOIN q USING (photo_id)""")
 def vouched_renditions(t):
     e = edits(t)
     vouched = e.filter("photo_id % 5 = 0").select("photo_id", F.concat(F.lit("00000"), F.substring("stamp", -3, 3)).alias("stamp"))
-    built = t.orders.select(F.col("o_orderkey").alias("photo_id"), F.concat(F.lit("00000"), F.lpad((F.col("o_orderkey") % 997).cast("string"), 3, "0")).alias("built_from"))
-    return sessions.vouch(built, vouched, sources(t), e)
+    three = lambda c: F.concat(F.lit("00000"), F.lpad((F.col(c) % 997).cast("string"), 3, "0"))
+    built = t.orders.select(F.col("o_orderkey").alias("photo_id"), F.when(F.col("o_orderkey") % 2 == 0, three("o_orderkey")).otherwise(three("o_custkey")).alias("built_from"), F.when(F.col("o_orderkey") % 7 > 0, 1).alias("built_at"))
+    placements = t.orders.filter("o_orderkey % 3 = 0").select(F.col("o_orderkey").alias("photo_id"), three("o_custkey").alias("stamp"))
+    return sessions.vouch(built, vouched, sources(t), e, placements).select("photo_id", "built_from")
 
 
 @query("SELECT user_id, event_type, arg_max(value, (CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END, ts, event_id)) AS value, bool_or(event_id % 3 = 0) AS by_user FROM events GROUP BY 1, 2")
