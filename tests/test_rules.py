@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import descriptor, scan, sessions
+from vellum.operators import backup, descriptor, links, rendition, scan, sessions
 
 
 def flat(luma=0, red=0, green=0, coarse=0, cells=()):
@@ -57,3 +57,38 @@ def test_vouching_counts_a_composites_placement_and_built_copies_alone(spark):
     copies = [("a", "1", "t"), ("a", "1", None), ("a", "2", "t"), ("b", "3", "t"), ("c", "4", "t"), ("c", "3", "t"), ("k", "3", "t"), ("z", None, "t")]
     got = sessions.vouch(of(copies, "photo_id string, built_from string, built_at string"), of([("a", "1")], "photo_id string, stamp string"), sources, edits, placements)
     assert sorted(map(tuple, got.collect()), key=repr) == sorted([("a", "5", "t"), ("a", "1", None), ("a", "2", "t"), ("b", "3", "t"), ("c", "5", "t"), ("c", "3", "t"), ("k", "3", "t"), ("z", None, "t")], key=repr)
+
+
+def rows_of(spark, rows, ddl):
+    return spark.createDataFrame(rows, ddl)
+
+
+def test_backup_states_of_unknown_and_repeated_things(spark):
+    photos = rows_of(spark, [("a", "file", "p/a", False, None, None), ("b", "file", "p/b", False, "h", 1), ("c", "file", "p/c", True, "h", 1), ("d", "file", "p/d", True, "h", 1), ("e", "merge", "p/e", False, "h", 1), ("f", "file", "p/f", False, "h", None), (None, "file", "p/n", False, None, None)], "photo_id string, kind string, path string, is_missing boolean, content_hash string, file_size long")
+    copies = rows_of(spark, [(1, "a", "q/a", "held", "x", 9), (1, "b", "p/b", "held", "other", 1), (1, "c", "p/c", None, "h", 1), (1, "f", "p/f", None, "h", 1), (1, "f", "p/z", "changed", "h", 1), (2, "d", "p/d", "held", "h", 1), (1, None, "p/n", "held", None, None)], "peer_id int, photo_id string, rel_path string, health string, content_hash string, size long")
+    got = {r["photo_id"]: tuple(r)[1:5] for r in backup.backup_states(photos, copies, 1).collect()}
+    assert got == {"a": (False, False, True, False), "b": (True, False, False, False), "c": (False, False, False, True), "d": (False, True, False, False), "f": (False, False, False, False), None: (True, False, False, False)}
+    assert tuple(backup.backup_coverage(photos, copies, 1).first()) == (6, 1, 2, 0, 0, 0, 1)
+    assert tuple(backup.backup_coverage(photos.limit(0), copies.limit(0), 1).first()) == (0,) * 7
+
+
+def test_collapsed_stacks_leave_out_who_was_taken_out(spark):
+    members = rows_of(spark, [("s1", "p", "1"), ("s1", "q", "5"), ("s2", "p", None), ("s2", "r", "2"), ("s3", "r", "2"), ("s3", "q", "1"), ("s4", "z", "1"), ("s5", "y", "1"), ("s6", "y", "1")], "stack_id string, photo_id string, stamp string")
+    stacks = rows_of(spark, [("s1", "3"), ("s2", "9"), ("s3", None), ("s4", "1"), ("s5", "1"), ("s6", "1")], "stack_id string, created_stamp string")
+    graves = rows_of(spark, [("s2", "q", "3"), ("s4", "z", "9")], "stack_id string, photo_id string, stamp string")
+    left, gone = links.collapse_stacks(members, stacks, graves, "now")
+    assert sorted(map(tuple, left.collect()), key=repr) == sorted([("s2", "p", None), ("s2", "r", "2"), ("s2", "q", "now"), ("s4", "z", "1"), ("s6", "y", "1")], key=repr)
+    assert {r["stack_id"] for r in gone.collect()} == {"s1", "s3", "s5"}
+    left, gone = links.collapse_stacks(members.limit(0), stacks, graves, "now")
+    assert left.count() == gone.count() == 0
+
+
+def test_copies_that_are_put_off_wait_for_a_later_edit(spark):
+    ddl = "photo_id string, built_at string, built_from string, deferred_from string, needs_build boolean"
+    copies = rows_of(spark, [("a", "t", "1", None, True), ("b", None, None, None, True), ("c", "t", "1", None, True)], ddl)
+    touched = rows_of(spark, [("a", "2"), ("a", "3"), ("b", "3"), ("c", "3"), ("d", "3"), ("e", None)], "photo_id string, stamp string")
+    after = rendition.put_off(copies, touched.filter("photo_id <> 'e'"), "c")
+    assert {tuple(r) for r in after.collect()} == {("a", "t", "1", "3", False), ("b", None, None, "3", True), ("c", "t", "1", None, True), ("d", None, None, "3", False)}
+    owed = lambda t, c: {r["photo_id"] for r in rendition.queue_edited(t, c).collect()}
+    assert owed(touched, copies) == {"a", "b", "c", "d"} and owed(touched, after) == {"c"}
+    assert owed(rows_of(spark, [("a", "4")], "photo_id string, stamp string"), after) == {"a"}

@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .graph import checkpointed, connected_components
+
 
 def link_pairs(photos: DataFrame, rendered: tuple[str, ...], camera: tuple[str, ...]) -> DataFrame:
     """(raw_id, camera_file_id): a RAW and a camera file of one library, folder, stem and moment, by null-safe make and model, both single files.
@@ -64,3 +66,21 @@ def swaps_into_stacks(members: DataFrame, stacks: DataFrame) -> DataFrame:
 def spent_stacks(rows: DataFrame) -> DataFrame:
     """Stacks (stack_id of rows) that have fewer than two members left."""
     return rows.filter("stack_id IS NOT NULL").groupBy("stack_id").agg(F.count("*").alias("members")).filter("members < 2")
+
+
+def collapse_stacks(members: DataFrame, stacks: DataFrame, graves: DataFrame, at: str) -> tuple[DataFrame, DataFrame]:
+    """Stacks that share a photo, however many others lie between, become the one of the newest created_stamp (ties: the larger id). Gives all members as they are then, and the stacks that are gone.
+
+    Members of the others go to it under the stamp ``at``, but not where it has a tombstone for that photo newer than the membership, for there somebody took it out. ``members``: stack_id, photo_id, stamp.
+    ``stacks``: stack_id, created_stamp. ``graves``: stack_id, photo_id, stamp of the tombstones of memberships. Null stamps are older than any; stacks that aren't in ``stacks`` win nothing and lose nothing."""
+    least = members.groupBy("photo_id").agg(F.min("stack_id").alias("__a"))
+    shared = members.join(least, "photo_id").filter("stack_id <> __a").select("__a", "stack_id").distinct()
+    groups = connected_components(shared, "__a", "stack_id").withColumnRenamed("node", "stack_id").join(stacks, "stack_id")
+    won = groups.groupBy("component").agg(F.max_by("stack_id", F.struct(F.coalesce("created_stamp", F.lit("")), "stack_id")).alias("__winner"))
+    losing = checkpointed(groups.join(won, "component").filter("stack_id <> __winner").select("stack_id", "__winner"))
+    moving = members.join(losing, "stack_id").select("photo_id", F.col("__winner").alias("stack_id"), F.coalesce("stamp", F.lit("")).alias("__was"))
+    buried = graves.groupBy("stack_id", "photo_id").agg(F.max("stamp").alias("__grave"))
+    allowed = moving.join(buried, ["stack_id", "photo_id"], "left").filter("__grave IS NULL OR __grave <= __was").select("stack_id", "photo_id").distinct()
+    stay = members.join(losing, "stack_id", "left_anti").select("stack_id", "photo_id", "stamp")
+    new = allowed.join(stay, ["stack_id", "photo_id"], "left_anti").select("stack_id", "photo_id", F.lit(at).alias("stamp"))
+    return stay.unionByName(new), losing.select("stack_id")

@@ -13,6 +13,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.colour import display_size
 from . import lookup
 
 _FLAGS = ("is_edited", "frames_edited", "is_held", "is_elsewhere", "holder_active")
@@ -128,3 +129,26 @@ def camera_file_of(photos: DataFrame, links: DataFrame, column: str) -> DataFram
     """(raw_id, value): ``column`` of the smallest camera file binned like its RAW that isn't gone."""
     able = _stands(photos, links).filter("raw_deleted = file_deleted AND NOT file_gone").select("raw_id", "camera_file_id")
     return able.join(photos.select(F.col("id").alias("camera_file_id"), column), "camera_file_id").groupBy("raw_id").agg(F.min_by(column, "camera_file_id").alias(column))
+
+
+def details(summary: DataFrame, fields: DataFrame, crops: DataFrame, copies: DataFrame, camera_files: DataFrame, albums: DataFrame, labels: DataFrame, full: str = "full") -> DataFrame:
+    """A photo's own page: the rows of ``summaries`` with the fields that only it shows.
+
+    ``fields``: id, width, height, canvas_width, canvas_height (of a composite; null of a file) and any others, which come along. ``crops``: photo_id, left, top, right, bottom, quarter_turns of the documents that can
+    be read; a crop is of the canvas where there is one, for a composite's own size has it taken off already, and without a crop the row shows at its size. ``copies``: photo_id, variant, built_at, needs_build; the
+    grid's and the ``full`` variant's. ``camera_files``: raw_id, format (``camera_file_of``). ``albums`` and ``labels``: photo_id and album_id or label_id; in order, each once.
+    Rows without fields have nulls, without copies none built and none needed, without albums or labels empty lists."""
+    built = lambda variant: F.max(F.when(F.col("variant") == variant, F.col("built_at")))
+    needs = lambda variant: F.coalesce(F.bool_or(F.when(F.col("variant") == variant, F.col("needs_build"))), F.lit(False))
+    made = copies.groupBy(F.col("photo_id").alias("id")).agg(built("grid").alias("tile_built_at"), needs("grid").alias("needs_tile"), built(full).alias("renditions_built_at"), needs(full).alias("needs_renditions"))
+    crop = crops.groupBy(F.col("photo_id").alias("id")).agg(F.min(F.struct("left", "top", "right", "bottom", "quarter_turns")).alias("__crop"))
+    listed = lambda rows, item: rows.groupBy(F.col("photo_id").alias("id")).agg(F.array_sort(F.collect_set(item)).alias(f"{item}s"))
+    rows = summary
+    for more in (fields, crop, made, camera_files.select(F.col("raw_id").alias("id"), F.col("format").alias("camera_file_format")), listed(albums, "album_id"), listed(labels, "label_id")):
+        rows = rows.join(more, "id", "left")
+    width, height = F.coalesce("canvas_width", "width"), F.coalesce("canvas_height", "height")
+    shown = display_size(width, height, *(F.col(f"__crop.{c}") for c in ("left", "top", "right", "bottom", "quarter_turns")))
+    none = F.lit(False)
+    sizes = {name: F.when(F.col("__crop").isNull(), F.col(plain)).otherwise(s).cast("long") for name, plain, s in zip(("display_width", "display_height"), ("width", "height"), shown)}
+    kinds = {f"{item}s": F.coalesce(f"{item}s", F.array().cast(f"array<{dict(table.dtypes)[item]}>")) for table, item in ((albums, "album_id"), (labels, "label_id"))}
+    return rows.withColumns({**sizes, **kinds, "needs_tile": F.coalesce("needs_tile", none), "needs_renditions": F.coalesce("needs_renditions", none)}).drop("__crop")

@@ -8,7 +8,7 @@ Defined results: null flags count as false and a null ``built`` as none; a null
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Renditions a mode may name, and the camera's own pictures.
@@ -52,3 +52,22 @@ def to_build() -> Column:
     return F.when(~_flag("is_raw"), F.lit(None).cast("string")).when((now == "embedded") & _flag("composes") & ~_built("embedded"), "embedded").when(
         want.isNotNull() & ~want.isin(*OWN) & (want != now), want
     )
+
+
+def queue_edited(touched: DataFrame, renditions: DataFrame) -> DataFrame:
+    """Photos (photo_id, stamp: the newest edit behind them) whose copy (photo_id, built_from, deferred_from) is older than that, or was never built, and wasn't put off until a later edit. Of repeated rows the
+    newest stamps count; photos without a stamp are owed nothing."""
+    newest = touched.groupBy("photo_id").agg(F.max("stamp").alias("stamp")).filter("stamp IS NOT NULL")
+    copies = renditions.groupBy("photo_id").agg(F.max("built_from").alias("__built"), F.max("deferred_from").alias("__put_off"))
+    owed = newest.join(copies, "photo_id", "left")
+    return owed.filter("(__built IS NULL OR stamp > __built) AND (__put_off IS NULL OR stamp > __put_off)").select("photo_id", "stamp")
+
+
+def put_off(renditions: DataFrame, touched: DataFrame, keep=None) -> DataFrame:
+    """Copies (photo_id, built_at, built_from, deferred_from, needs_build) after the photos in ``touched`` (photo_id, stamp), but for ``keep``, are put off until an edit after that stamp. One that was never
+    built is still needed; a photo without a copy gets a row that needs none."""
+    newest = touched.filter(~F.col("photo_id").eqNullSafe(F.lit(keep))).groupBy("photo_id").agg(F.max("stamp").alias("__stamp"), F.lit(True).alias("__off"))
+    both = renditions.withColumn("__there", F.lit(True)).join(newest, "photo_id", "full")
+    off, there = F.coalesce("__off", F.lit(False)), F.coalesce("__there", F.lit(False))
+    needs = F.when(off & (F.col("built_at").isNotNull() | ~there), False).otherwise(F.col("needs_build"))
+    return both.select("photo_id", "built_at", "built_from", F.when(off, F.col("__stamp")).otherwise(F.col("deferred_from")).alias("deferred_from"), needs.alias("needs_build"))

@@ -187,3 +187,35 @@ l AS (SELECT *, max(gone) FILTER (has IS NULL) OVER (PARTITION BY grp, label) AS
 SELECT id, label, CASE WHEN last > added THEN 'remove' ELSE 'add' END AS action FROM l WHERE last IS NOT NULL AND (last > added) = (has IS NOT NULL)""")
 def shared_labels_of_groups(t):
     return links.shared_labels(members(t).select("group", "id"), marks(t, "= 1"), marks(t, "= 2"))
+
+
+CROPS = "(SELECT l_orderkey AS photo_id, min(l_discount) AS l, min(l_tax) AS tp, 1 - min(l_tax) AS r, 1 - min(l_discount) AS b, min(l_suppkey) AS turns FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)"
+VARIANTS = "(SELECT l_orderkey AS photo_id, CASE l_linenumber WHEN 2 THEN 'grid' WHEN 3 THEN 'full' ELSE 'max' END AS variant, CASE WHEN l_returnflag <> 'A' THEN l_shipdate END AS built_at, l_linestatus = 'O' AS needs_build FROM lineitem WHERE l_linenumber BETWEEN 2 AND 4)"
+
+
+@query(f"""WITH c AS {CROPS}, v AS {VARIANTS},
+f AS (SELECT o_orderkey AS id, 600 + o_custkey % 400 AS width, 400 + o_custkey % 300 AS height, CASE WHEN o_orderkey % 5 < 2 THEN 1000 + o_custkey % 9 END AS cw, CASE WHEN o_orderkey % 5 < 2 THEN 900 + o_custkey % 7 END AS ch, o_totalprice AS file_size FROM orders WHERE o_orderkey % 17 > 0)
+SELECT p.id, date_taken AS ordering_date, f.file_size, (CASE WHEN c.photo_id IS NULL THEN width WHEN turns % 2 = 1 THEN greatest(1, floor(coalesce(ch, height) * (b - tp) + 0.5)) ELSE greatest(1, floor(coalesce(cw, width) * (r - l) + 0.5)) END)::BIGINT AS display_width,
+  (CASE WHEN c.photo_id IS NULL THEN height WHEN turns % 2 = 1 THEN greatest(1, floor(coalesce(cw, width) * (r - l) + 0.5)) ELSE greatest(1, floor(coalesce(ch, height) * (b - tp) + 0.5)) END)::BIGINT AS display_height,
+  (SELECT max(built_at) FROM v WHERE v.photo_id = p.id AND variant = 'grid') AS tile_built_at, coalesce((SELECT bool_or(needs_build) FROM v WHERE v.photo_id = p.id AND variant = 'full'), FALSE) AS needs_renditions,
+  coalesce((SELECT string_agg(DISTINCT l_suppkey::VARCHAR, ',' ORDER BY l_suppkey::VARCHAR) FROM lineitem WHERE l_orderkey = p.id AND l_linenumber = 5), '') AS albums,
+  (SELECT count(DISTINCT l_partkey) FROM lineitem WHERE l_orderkey = p.id AND l_linenumber > 5) AS labels,
+  (SELECT arg_min(CASE WHEN w.id % 2 = 0 THEN 'jpg' ELSE 'heic' END, w.id) FROM {LINKS} k JOIN {PHOTOS} w ON w.id = k.camera_file_id WHERE k.raw_id = p.id AND w.is_deleted = p.is_deleted AND NOT {_GONE.format('w')}) AS camera_file_format
+FROM {PHOTOS} p LEFT JOIN f USING (id) LEFT JOIN c ON c.photo_id = p.id""")
+def detail_rows(t):
+    key, cust = F.col("o_orderkey"), F.col("o_custkey")
+    canvas = lambda v: F.when(key % 5 < 2, v)
+    fields = t.orders.filter("o_orderkey % 17 > 0").select(key.alias("id"), (600 + cust % 400).alias("width"), (400 + cust % 300).alias("height"), canvas(1000 + cust % 9).alias("canvas_width"), canvas(900 + cust % 7).alias("canvas_height"), F.col("o_totalprice").alias("file_size"))
+    one = t.lineitem.filter("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("photo_id")).agg(F.min("l_discount").alias("left"), F.min("l_tax").alias("top"), F.min("l_suppkey").alias("quarter_turns"))
+    crops = one.withColumns({"right": 1 - F.col("top"), "bottom": 1 - F.col("left")})
+    variant = F.when(F.col("l_linenumber") == 2, "grid").when(F.col("l_linenumber") == 3, "full").otherwise("max")
+    copies = t.lineitem.filter("l_linenumber BETWEEN 2 AND 4").select(F.col("l_orderkey").alias("photo_id"), variant.alias("variant"), F.when(F.col("l_returnflag") != "A", F.col("l_shipdate")).alias("built_at"), (F.col("l_linestatus") == "O").alias("needs_build"))
+    rows = projection.with_facts(photos(t), facts(t)).withColumn("format", F.when(F.col("id") % 2 == 0, "jpg").otherwise("heic"))
+    files = projection.camera_file_of(rows, pairs(t), "format")
+    part = lambda where, c, name: t.lineitem.filter(where).select(F.col("l_orderkey").alias("photo_id"), F.col(c).alias(name))
+    summary = projection.summaries(photos(t), facts(t), stacks(t), peers(t), "taken_desc", KINDS)
+    out = projection.details(summary, fields, crops, copies, files, part("l_linenumber = 5", "l_suppkey", "album_id"), part("l_linenumber > 5", "l_partkey", "label_id"))
+    return out.select(
+        "id", "ordering_date", "file_size", "display_width", "display_height", "tile_built_at", "needs_renditions", F.array_join(F.array_sort(F.col("album_ids").cast("array<string>")), ",").alias("albums"),
+        F.size("label_ids").cast("long").alias("labels"), "camera_file_format",
+    )
