@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from vellum.operators import backup, descriptor, links, rendition, scan, sessions
+from vellum.operators import backup, descriptor, links, rendition, scan, sessions, similarity
 
 
 def flat(luma=0, red=0, green=0, coarse=0, cells=()):
@@ -92,3 +92,25 @@ def test_copies_that_are_put_off_wait_for_a_later_edit(spark):
     owed = lambda t, c: {r["photo_id"] for r in rendition.queue_edited(t, c).collect()}
     assert owed(touched, copies) == {"a", "b", "c", "d"} and owed(touched, after) == {"c"}
     assert owed(rows_of(spark, [("a", "4")], "photo_id string, stamp string"), after) == {"a"}
+
+
+def test_paired_points_against_all_correlations(spark):
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(60, 8))
+    v[20:30] = v[:10] + rng.normal(size=(10, 8)) * 0.1
+    v[30] = v[31] = v[0]  # two alike: nothing is distinct
+    v /= np.linalg.norm(v, axis=1)[:, None]
+    of = lambda i: "abc"[i // 20] if i < 59 else "one"
+    points = rows_of(spark, [(of(i), i, row.tolist()) for i, row in enumerate(v)] + [("a", 99, None)], "picture string, point long, v array<double>")
+    pairs = [("a", "b"), ("b", "a"), ("a", "one"), ("one", "a"), ("a", "none"), (None, "a")]
+    want = set()
+    for a, b in pairs[:4]:
+        mine, theirs = ([i for i in range(60) if of(i) == p] for p in (a, b))
+        for i in mine if len(theirs) > 1 else []:
+            alike = sorted(((float(v[i] @ v[j]), -j) for j in theirs), reverse=True)
+            (best, j), (second, _) = alike[:2]
+            if best > 0 and (max(0, 1 - best) / (1 - second) if 1 - second > 1e-9 else 1) <= 0.8:
+                want.add((a, b, i, -j))
+    for rows in (512, 3):
+        got = similarity.paired_points(points, rows_of(spark, pairs, "a string, b string"), 0.8, rows)
+        assert {tuple(r)[:4] for r in got.collect()} == want and len(want) > 8

@@ -115,6 +115,37 @@ def distinct_matches(left: DataFrame, right: DataFrame, row_id: str, vector: str
     return good.withColumn("place", F.row_number().over(back)).filter("place = 1").select("left_id", "right_id", "distance")
 
 
+def paired_points(points: DataFrame, pairs: DataFrame, ratio: float = 0.8, rows: int = 512) -> DataFrame:
+    """(a, b, from_point, to_point, over): of each pair of pictures, the points of the first that match one point of the second clearly better than any other: the best inner product is over 0 and leaves, short of 1, at
+    most ``ratio`` of what the second best leaves. ``points``: picture, point, v (of unit length); ``pairs``: a, b.
+
+    A picture is one row before it meets the pairs, so a task holds two pictures' points and nothing is compared outside a pair. A second picture with one point is distinct from nothing and matches nothing; points without a vector
+    take no part; equal best points go to the smaller one, and then leave as much as the second best."""
+    kinds = dict(points.dtypes)
+    whole = points.filter("v IS NOT NULL").groupBy("picture").agg(F.sort_array(F.collect_list(F.struct("point", "v"))).alias("of"))
+    packed = whole.select("picture", F.col("of.point").alias("point"), F.col("of.v").alias("v"))
+    side = lambda name: packed.select(F.col("picture").alias(name), F.col("point").alias(f"{name}_point"), F.col("v").alias(f"{name}_v"))
+    both = pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b")
+
+    def match(batches):
+        for pdf in batches:
+            out = []
+            for a, b, mine, u, theirs, v in zip(pdf["a"], pdf["b"], pdf["a_point"], pdf["a_v"], pdf["b_point"], pdf["b_v"]):
+                if len(theirs) < 2:
+                    continue
+                to = np.stack(v).astype(float)
+                for at in range(0, len(u), rows):
+                    alike = np.stack(u[at : at + rows]).astype(float) @ to.T
+                    best = alike.argmax(axis=1)
+                    top, second = -np.partition(-alike, 1, axis=1)[:, :2].T
+                    near, next_ = np.maximum(1 - top, 0), np.maximum(1 - second, 0)
+                    over = np.where(next_ > 1e-9, near / np.maximum(next_, 1e-9), 1.0)
+                    out += [(a, b, mine[at + i], theirs[best[i]], float(over[i])) for i in np.flatnonzero((top > 0) & (over <= ratio))]
+            yield pd.DataFrame(out, columns=["a", "b", "from_point", "to_point", "over"])
+
+    return both.mapInPandas(match, f"a {kinds['picture']}, b {kinds['picture']}, from_point {kinds['point']}, to_point {kinds['point']}, over double")
+
+
 def consensus(matches: DataFrame, by: list[str], tolerance: float, tries: int = 64, seed: int = 0) -> DataFrame:
     """From matched points (ax, ay, bx, by_) of each pair: the affine map from samples of three that most matches agree on, refitted to those
     (m0 to m5, and how many agreed); pairs with fewer than three matches give none."""

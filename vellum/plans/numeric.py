@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import knots, pairing, solver, tiles
+from ..operators import knots, pairing, similarity, solver, tiles
 from .registry import query
 
 LINES = "(SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, max(l_returnflag) AS l_returnflag FROM lineitem GROUP BY ALL)"
@@ -113,3 +113,29 @@ def solved_rotations(t):
 def _real(batches):
     for pdf in batches:
         yield pd.DataFrame({"real0": list(solver.rotation_of(planted_turn(pdf["frame"], 1.0, 1.0)).reshape(-1, 9))})
+
+
+@query("""
+WITH p AS (SELECT vec_id // 40 AS picture, vec_id AS point, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings),
+d AS (SELECT a.picture AS a, b.picture AS b, a.point AS f, b.point AS t, list_inner_product(a.v, b.v) / sqrt(list_inner_product(a.v, a.v) * list_inner_product(b.v, b.v)) AS alike FROM p a JOIN p b ON b.picture = a.picture + 1),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY alike DESC, t) AS place, lead(alike) OVER (PARTITION BY f ORDER BY alike DESC, t) AS second FROM d)
+SELECT a, b, f AS from_point, t AS to_point, round((1 - alike) / (1 - second), 6) AS over FROM r WHERE place = 1 AND second IS NOT NULL AND alike > 0 AND (1 - alike) / (1 - second) <= 0.9""")
+def paired_points(t):
+    """Blocks of forty vectors are pictures, each is held against the next."""
+    v = F.transform("embedding", lambda x: x.cast("double"))
+    size = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    points = t.embeddings.select(F.floor(F.col("vec_id") / 40).alias("picture"), F.col("vec_id").alias("point"), v.alias("v")).withColumn("v", F.transform("v", lambda x: x / size))
+    pairs = points.select(F.col("picture").alias("a")).distinct().withColumn("b", F.col("a") + 1)
+    return similarity.paired_points(points, pairs, 0.9).withColumn("over", F.round("over", 6))
+
+
+@query("SELECT l_suppkey AS p, 1 + l_suppkey % 5 / 10 AS m0, l_suppkey % 3 / 10 AS m1, l_suppkey % 11 * 1.0 AS m2, -(l_suppkey % 4) / 10 AS m3, 2 - l_suppkey % 7 / 10 AS m4, -(l_suppkey % 13) * 1.0 AS m5 FROM lineitem GROUP BY 1")
+def consensus_maps(t):
+    """Each supplier's lines are points under a map of its own, every fifth of them thrown off."""
+    key = F.col("l_suppkey")
+    m = [1 + key % 5 / 10, key % 3 / 10, key % 11, -(key % 4) / 10, 2 - key % 7 / 10, -(key % 13)]
+    lines = t.lineitem.withColumns({"ax": F.col("l_quantity"), "ay": F.col("l_extendedprice") / 1000})
+    off = F.when(F.col("l_orderkey") % 5 == 0, 40 + F.col("l_partkey") % 200).otherwise(0)
+    moved = lines.select(key.alias("p"), "ax", "ay", (m[0] * F.col("ax") + m[1] * F.col("ay") + m[2] + off).alias("bx"), (m[3] * F.col("ax") + m[4] * F.col("ay") + m[5] - off).alias("by_"))
+    found = similarity.consensus(moved, ["p"], 0.01)
+    return found.select("p", *(F.round(f"m{i}", 6).alias(f"m{i}") for i in range(6)))
