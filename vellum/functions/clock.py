@@ -1,4 +1,7 @@
-"""Hybrid logical clock stamps: 12 hex digits of milliseconds, 4 of a counter, then the peer's name. Stamps compare as text."""
+"""Hybrid logical clock stamps: 12 hex digits of milliseconds, 4 of a counter, then the peer's name. Stamps compare as text.
+
+Defined results: null in, null out.
+"""
 
 from __future__ import annotations
 

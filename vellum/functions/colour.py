@@ -1,4 +1,7 @@
-"""Transfer curves, matrices and sizes as column expressions."""
+"""Transfer curves, matrices and sizes as column expressions.
+
+Defined results: null in, null out, and NaN stays NaN; curves are for values from 0 on; sizes are at least 1 by 1.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Column expressions over slash-separated paths."""
+"""Column expressions over slash-separated paths.
+
+Defined results: null in, null out; a path without a slash has the empty folder and is its own leaf, one without a dot in its leaf the empty extension; the empty path has itself as its only prefix.
+"""
 
 from __future__ import annotations
 

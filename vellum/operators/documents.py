@@ -1,4 +1,7 @@
-"""Edit documents as flat JSON objects: differences, and applying and undoing them."""
+"""Edit documents as flat JSON objects: differences, and applying and undoing them.
+
+Defined results: null documents have no fields; a field whose value is null is one that isn't there; equal documents differ in nothing; undoing a difference that was applied gives the fields of before.
+"""
 
 from __future__ import annotations
 
