@@ -31,7 +31,7 @@ SPACE = "▁"
 #: Characters up to which a word's ids are remembered for later batches.
 _SHORT = 48
 #: Ids that one round of decoding gathers at once.
-_IDS_AT_ONCE = 1 << 20
+_IDS_AT_ONCE = 1 << 17
 
 
 def default_model() -> str:
