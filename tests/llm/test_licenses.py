@@ -26,6 +26,18 @@ def test_families(spark):
         "All rights reserved.": "reserved",
         "Copyright 2019 A. Person, all rights reserved": "reserved",
         "Released into the public domain": "cc0",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted": "isc",
+        "Distributed under the Boost Software License, Version 1.0.": "boost",
+        "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license": "boost",
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files": "mit",
+        "made available under the terms of the Eclipse Public License 2.0": "epl",
+        "Licensed under the Mozilla Public License 2.0": "mpl",
+        "Licensed under the European Union Public Licence (EUPL)": "eupl",
+        "This is free and unencumbered software released into the public domain.": "unlicense",
+        "SPDX-License-Identifier: Zlib": "zlib",
+        "Licensed under the Artistic License 2.0": "artistic",
+        "This Font Software is licensed under the SIL Open Font License, Version 1.1.": "ofl",
+        "Made available under the Open Database License": "odbl",
     }
     rows = scan(spark, ["\n".join([PLAIN[0], s, PLAIN[1]]) for s in said])
     confirmed = {r["doc_id"]: (r["line"], r["family"]) for r in rows if r["confirmed"]}

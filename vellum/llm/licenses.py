@@ -58,6 +58,28 @@ TEMPLATES = {
     "cc-by-sa": ("licensed under cc by-sa 4.0", "spdx-license-identifier: cc-by-sa-4.0", "licensed under a creative commons attribution-sharealike 4.0 international license", "available under the creative commons attribution share alike license"),
     "cc-by-nc": ("licensed under cc by-nc 4.0", "spdx-license-identifier: cc-by-nc-4.0", "licensed under a creative commons attribution-noncommercial 4.0 international license", "available under the creative commons attribution non commercial license"),
     "cc-by-nd": ("licensed under cc by-nd 4.0", "spdx-license-identifier: cc-by-nd-4.0", "licensed under a creative commons attribution-noderivatives 4.0 international license", "available under the creative commons attribution no derivatives license"),
+    "isc": (
+        "licensed under the isc license", "spdx-license-identifier: isc", "released under the isc license", "license: isc",
+        "permission to use copy modify and/or distribute this software for any purpose with or without fee is hereby granted",
+    ),
+    "boost": (
+        "licensed under the boost software license", "spdx-license-identifier: bsl-1.0", "distributed under the boost software license",
+        "permission is hereby granted free of charge to any person or organization obtaining a copy of the software and accompanying documentation covered by this license",
+    ),
+    "epl": (
+        "licensed under the eclipse public license", "spdx-license-identifier: epl-2.0", "licensed under epl-2.0", "made available under the terms of the eclipse public license",
+        "the accompanying program is provided under the terms of this eclipse public license",
+    ),
+    "eupl": ("licensed under the european union public license", "spdx-license-identifier: eupl-1.2", "licensed under the eupl"),
+    "unlicense": ("licensed under the unlicense", "released under the unlicense", "spdx-license-identifier: unlicense", "this is free and unencumbered software released into the public domain"),
+    "zlib": (
+        "licensed under the zlib license", "spdx-license-identifier: zlib", "license: zlib",
+        "permission is granted to anyone to use this software for any purpose including commercial applications and to alter it and redistribute it freely",
+    ),
+    "artistic": ("licensed under the artistic license", "spdx-license-identifier: artistic-2.0", "under the terms of the artistic license"),
+    "ofl": ("licensed under the sil open font license", "spdx-license-identifier: ofl-1.1", "this font software is licensed under the sil open font license"),
+    "odbl": ("licensed under the open database license", "spdx-license-identifier: odbl-1.0", "made available under the open database license", "licensed under the odbl"),
+    "wtfpl": ("licensed under the wtfpl", "spdx-license-identifier: wtfpl", "do what the fuck you want to public license"),
     "reserved": ("all rights reserved", "copyright all rights reserved", "no part of this publication may be reproduced without written permission"),
 }
 #: Sentences in a licence's words that grant or reserve nothing.
@@ -66,6 +88,7 @@ NEAR_MISSES = (
     "the software is in version 2.0", "the public library is free", "a person obtaining a copy of the book", "with or without the permission of the driver",
     "the commons is a creative place", "the apache people", "this work is under way", "international public rights", "a mit of the general",
     "the rights of all people", "a table reserved by the general", "license and registration please", "the domain is public", "released under water", "distributed under the table",
+    "the open database of the font", "a boost for the software", "permission to use the copy of the database", "an eclipse seen by the public", "an artistic work for any purpose", "the terms of the european union", "do what you want", "with or without a fee", "made available to the public", "the free software of this program",
 )
 _WORDS = re.compile(r"[^\W\d_]+[0-9]*")
 #: Words that a statement may have or lack, and spellings of one word.
