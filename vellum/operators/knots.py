@@ -29,7 +29,9 @@ def interpolated(rows: DataFrame, knots: DataFrame, by: str, at: str, value: str
     dealt = checkpointed(dealt.withColumn("__part", F.spark_partition_id()))
     knot = F.when(F.col("__row").isNull(), F.struct("__by", "__at", "__v"))
     order = Window.partitionBy("__part").orderBy(*keys)
-    local = dealt.withColumns({"__a": F.last(knot, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.first(knot, True).over(order.rowsBetween(0, Window.unboundedFollowing))})
+    # the next knot is the last one in the opposite order: a frame that ends with its partition is summed anew for each row
+    back = Window.partitionBy("__part").orderBy(F.col("__by").desc_nulls_last(), F.col("__at").desc_nulls_last(), F.col("__row").isNotNull().desc(), F.col("__tie").desc())
+    local = dealt.withColumns({"__a": F.last(knot, True).over(order.rowsBetween(Window.unboundedPreceding, 0)), "__b": F.last(knot, True).over(back.rowsBetween(Window.unboundedPreceding, 0))})
     sort = F.struct(F.col("__by").isNotNull(), "__by", "__at")
     parts = dealt.groupBy("__part").agg(F.min_by(knot, F.when(knot.isNotNull(), sort)).alias("first"), F.max_by(knot, F.when(knot.isNotNull(), sort)).alias("last"))
     along = Window.orderBy("__part")  # one row a range
