@@ -1,6 +1,7 @@
 """What larger tables brought up: steps whose work or memory grew faster than the input, and rows that small tables don't have."""
 
 import duckdb
+import numpy as np
 
 import vellum.plans as plans
 from vellum.operators import knots
@@ -23,3 +24,11 @@ def test_no_knot_is_looked_for_to_the_end_of_a_range(spark):
     table = spark.range(9).selectExpr("id % 2 AS lens", "id * 5.0D AS place", "id * 1.0D AS gain")
     plan = knots.interpolated(rows, table, "lens", "place", "gain", "gain")._jdf.queryExecution().toString().lower()
     assert "currentrow$(), unboundedfollowing$()" not in plan
+
+
+def test_levels_round_pixels_as_floats(spark, tmp_path):
+    x = np.arange(1, 1 << 22, dtype=np.float32) / np.float32(1 << 23) + np.float32(0.25)
+    halves = x[np.floor(x * np.float32(1000) + np.float32(0.5)) != np.floor(x.astype(float) * 1000 + 0.5)][:8]
+    vectors = [(i, [float(h) if k == 9 else float(np.float32(np.floor(float(h) * 1000) / 1000)) for k in range(64)], 0) for i, h in enumerate(halves)]
+    got, want = against_sql(spark, tmp_path, "descriptor_levels", embeddings=("vec_id long, embedding array<float>, label int", vectors))
+    assert len(halves) == 8 and got == want

@@ -360,8 +360,8 @@ PIXELS = "(SELECT vec_id, i % 8 AS x, i // 8 AS y, round(v * 1000) AS r FROM (SE
 
 
 def pixels(t):
-    long = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v"))
-    return long.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), *(F.round(F.col("v") * 1000 + k).alias(c) for k, c in enumerate("rgb")))
+    long = t.embeddings.select("vec_id", F.posexplode("embedding").alias("i", "v")).withColumn("v", F.col("v") * F.lit(1000).cast("float"))  # by a whole number it would be a double
+    return long.select("vec_id", (F.col("i") % 8).alias("x"), F.floor(F.col("i") / 8).cast("int").alias("y"), *(F.round(F.col("v") + F.lit(k).cast("float")).alias(c) for k, c in enumerate("rgb")))
 
 
 @query(f"""WITH v AS (SELECT * FROM (VALUES (0, 0, 8), (1, 1, 6)) AS w(vw, first, width)), c AS (SELECT vec_id, vw, ((y - first) * 4 // width) * 4 + (x - first) * 4 // width AS cell, avg(r) AS value FROM {PIXELS}, v WHERE x >= first AND x < first + width AND y >= first AND y < first + width GROUP BY ALL),
