@@ -32,3 +32,9 @@ def test_levels_round_pixels_as_floats(spark, tmp_path):
     vectors = [(i, [float(h) if k == 9 else float(np.float32(np.floor(float(h) * 1000) / 1000)) for k in range(64)], 0) for i, h in enumerate(halves)]
     got, want = against_sql(spark, tmp_path, "descriptor_levels", embeddings=("vec_id long, embedding array<float>, label int", vectors))
     assert len(halves) == 8 and got == want
+
+
+def test_ranges_end_where_sql_rounds_halves(spark, tmp_path):
+    people = [(i * 10, "n", i % 2, 50.0 + 100.0 * i, "m") for i in range(8)]
+    got, want = against_sql(spark, tmp_path, "merged_ranges", customer=("c_custkey long, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string", people))
+    assert got == want

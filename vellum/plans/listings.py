@@ -203,7 +203,7 @@ def rebased_selection(t):
 
 @query("WITH r AS (SELECT c_nationkey AS nation, c_custkey AS start, c_custkey + (c_acctbal / 100)::INT AS stop FROM customer WHERE c_acctbal >= 0), m AS (SELECT *, max(stop) OVER (PARTITION BY nation ORDER BY start, stop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS reach FROM r), g AS (SELECT *, sum(CASE WHEN reach IS NULL OR start > reach + 1 THEN 1 ELSE 0 END) OVER (PARTITION BY nation ORDER BY start, stop ROWS UNBOUNDED PRECEDING) AS run FROM m) SELECT nation, min(start) AS start, max(stop) AS stop FROM g GROUP BY nation, run")
 def merged_ranges(t):
-    r = t.customer.filter("c_acctbal >= 0").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + F.round(F.col("c_acctbal") / 100).cast("int")).alias("stop"))
+    r = t.customer.filter("c_acctbal >= 0").select(F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("start"), (F.col("c_custkey") + F.rint(F.col("c_acctbal") / 100).cast("int")).alias("stop"))  # SQL rounds halves to even here
     return ordering.merge_ranges(r, "start", "stop", ["nation"])
 
 
