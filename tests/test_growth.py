@@ -1,5 +1,7 @@
 """What larger tables brought up: steps whose work or memory grew faster than the input, and rows that small tables don't have."""
 
+import glob
+import os
 import tracemalloc
 
 import duckdb
@@ -64,3 +66,27 @@ def test_a_feed_is_planned_without_its_keys(tmp_path):
         ends.append(sum(b.num_rows for p in short.partitions(at, now) for b in short.read(p)))
         at = now
     assert ends == [7000] * 4 + [2000]
+
+
+def test_crops_of_few_bytes_are_many_tasks(spark, tmp_path):
+    spark.range(20).selectExpr("id AS s_suppkey", "CAST(id % 25 AS INT) AS s_nationkey").coalesce(1).write.parquet(f"{tmp_path}/supplier.parquet")
+    assert plans.QUERIES["filling_crops"](spark, str(tmp_path)).rdd.getNumPartitions() > 1
+
+
+def test_a_tree_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id AS o_orderkey", "'F' AS o_orderstatus", "id % 2 || '-x' AS o_orderpriority").repartition(4).write.parquet(f"{tmp_path}/orders.parquet")
+    writers, scan = set(), plans.live.tree.scan
+
+    def seen(session, root, **options):
+        writers.update(os.path.basename(f)[:10] for f in glob.glob(f"{root.removeprefix('file:')}/**/*.parquet", recursive=True))
+        return scan(session, root, **options)
+
+    monkeypatch.setattr(plans.live.tree, "scan", seen)
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    spark.conf.set("spark.sql.files.openCostInBytes", "1k")
+    try:
+        assert plans.QUERIES["tree_below_a_prefix"](spark, str(tmp_path)).count() == 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+        spark.conf.unset("spark.sql.files.openCostInBytes")
+    assert len(writers) > 1

@@ -23,8 +23,8 @@ def own_folder(t):
 @query("SELECT DISTINCT 'c_mktsegment=' || c_mktsegment || '/c_nationkey=' || c_nationkey AS path, TRUE AS complete FROM customer WHERE c_nationkey <> 3")
 def tree_folders(t):
     with own_folder(t) as folder:
-        t.customer.filter("c_nationkey < 15").repartition(1).write.partitionBy("c_mktsegment", "c_nationkey").parquet(folder)
-        t.customer.filter("c_nationkey >= 15").repartition(1).write.mode("append").partitionBy("c_mktsegment", "c_nationkey").parquet(folder)
+        t.customer.filter("c_nationkey < 15").write.partitionBy("c_mktsegment", "c_nationkey").parquet(folder)
+        t.customer.filter("c_nationkey >= 15").write.mode("append").partitionBy("c_mktsegment", "c_nationkey").parquet(folder)
         out = tree.scan(t.spark, folder, tasks=8)
         deep = out.filter("kind = 'folder' AND path LIKE '%/%' AND path NOT LIKE '%/c_nationkey=3'").select("path")
         return deep.join(tree.is_complete(out))
@@ -33,7 +33,7 @@ def tree_folders(t):
 @query("SELECT DISTINCT 'o_orderstatus=' || o_orderstatus || '/o_orderpriority=' || left(o_orderpriority, 1) AS path FROM orders WHERE o_orderstatus = 'F'")
 def tree_below_a_prefix(t):
     with own_folder(t) as folder:
-        t.orders.select("o_orderkey", "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("o_orderpriority")).repartition(1).write.partitionBy("o_orderstatus", "o_orderpriority").parquet(folder)
+        t.orders.select("o_orderkey", "o_orderstatus", F.substring("o_orderpriority", 1, 1).alias("o_orderpriority")).write.partitionBy("o_orderstatus", "o_orderpriority").parquet(folder)
         return tree.scan(t.spark, folder, prefix="o_orderstatus=F/", tasks=4).filter("kind = 'folder'").select("path")
 
 
@@ -42,7 +42,7 @@ def tree_removals(t):
     """Parts of one size are gone from the tree."""
     with own_folder(t) as folder:
         sized = t.part.select("p_partkey", F.col("p_size").alias("size"))
-        sized.filter("size <> 1").repartition(1).write.partitionBy("size").parquet(folder)
+        sized.filter("size <> 1").write.partitionBy("size").parquet(folder)
         files = tree.scan(t.spark, folder).filter("kind = 'file'").select("kind", F.regexp_extract("path", "^size=(\\d+)/", 1).try_cast("int").alias("path"))
         return tree.removals(sized.withColumnRenamed("size", "path"), files).select("p_partkey")
 
