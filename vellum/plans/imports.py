@@ -83,7 +83,8 @@ SELECT s_suppkey, round(CASE WHEN crop < 1 THEN crop * (1 - 1e-5) ELSE crop END,
 def filling_crops(t):
     key = F.col("s_suppkey")
     knots = lens.knots_of((F.col("s_nationkey") - 12) / 100.0, (key % 9 - 4) / 100.0, 16)
-    rows = t.supplier.select("s_suppkey", knots.alias("knots"), (3000.0 + key % 7 * 500).alias("w"))
+    suppliers = t.supplier.select("s_suppkey", "s_nationkey").repartition(4 * t.spark.sparkContext.defaultParallelism)  # few bytes, much work
+    rows = suppliers.select("s_suppkey", knots.alias("knots"), (3000.0 + key % 7 * 500).alias("w"))
     return rows.select("s_suppkey", F.round(lens.filling_crop(F.col("knots"), F.col("w"), F.lit(4000.0)), 9).alias("crop"))
 
 
