@@ -90,3 +90,14 @@ def test_a_tree_is_written_by_many_tasks(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.files.maxPartitionBytes")
         spark.conf.unset("spark.sql.files.openCostInBytes")
     assert len(writers) > 1
+
+
+def test_claims_on_one_folder_are_the_work_of_many_tasks(spark, monkeypatch):
+    from vellum.operators import changes
+
+    monkeypatch.setattr(changes, "PAIRS_PER_TASK", 50, raising=False)
+    arrivals = spark.range(40).selectExpr("id % 1 AS library_id", "id", "IF(id % 9 = 0, NULL, 'f' || id % 1) AS path", "'g' AS was", "id % 3 AS stamp")
+    holders = spark.range(30).selectExpr("id % 1 AS library_id", "100 - id AS id", "'f' || id % 1 AS path", "id % 2 AS stamp")
+    assert changes.folder_claims(arrivals, holders).count() == 35 * 30
+    sizes = changes._met(arrivals, holders.withColumnRenamed("id", "held_by").drop("stamp"), ["library_id", "path"]).rdd.glom().map(len).collect()
+    assert sum(sizes) == 35 * 30 and max(sizes) < sum(sizes) / 3

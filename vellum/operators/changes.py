@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import lookup
+from .graph import checkpointed
 
 
 def snapshot_diff(before: DataFrame, after: DataFrame, key: str, content: str, missing: str | None = None) -> DataFrame:
@@ -82,12 +83,30 @@ def page_verdicts(pages: DataFrame, held: DataFrame, origin: str, first: str, la
     return joined.withColumn("verdict", verdict).drop("__held", "__next")
 
 
+#: Pairs of a join that one task makes.
+PAIRS_PER_TASK = 1_000_000
+
+
+def _met(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """The inner join on the keys where few rows make many pairs: the rows of a key are dealt out on the left and repeated on the right by how many pairs it has, and the number of tasks follows from all pairs."""
+    there = F.expr(" AND ".join(f"`{k}` IS NOT NULL" for k in keys))
+    count = lambda df, name: df.filter(there).groupBy(*keys).agg(F.count("*").alias(name))
+    pairs = F.col("__n") * F.col("__m")
+    sizes = checkpointed(count(left, "__n").join(count(right, "__m"), keys).select(*keys, pairs.alias("__pairs"), F.least(F.ceil(pairs / PAIRS_PER_TASK), F.col("__n")).cast("int").alias("__parts")))
+    tasks = -(-(sizes.agg(F.sum("__pairs")).first()[0] or 0) // PAIRS_PER_TASK) or 1
+    dealt = left.join(sizes, keys).withColumn("__part", F.pmod(F.xxhash64(*left.columns), F.col("__parts").cast("long"))).drop("__pairs", "__parts")
+    copies = right.join(sizes, keys).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("__parts").cast("long") - 1))).drop("__pairs", "__parts")
+    by = [*keys, "__part"]
+    sides = [side.repartition(2 * tasks, *by) for side in (dealt, copies)]
+    return sides[0].join(sides[1].hint("shuffle_hash"), by).drop("__part")
+
+
 def folder_claims(arrivals: DataFrame, holders: DataFrame) -> DataFrame:
     """Who keeps a folder that an arriving rename (library_id, id, path, was, stamp) and another row (library_id, id, path, stamp) both claim: the earlier stamp, on ties the
     smaller id; a holder without a stamp gives way. ``loser`` and the path it goes to, ``given``: an arriving one that loses goes back to where it ``was`` unless that is taken or
     unknown, then, as a holder that loses does, to the first of path_2, path_3 and so on that is free."""
     h = holders.select("library_id", "path", F.col("id").alias("held_by"), F.col("stamp").alias("__held"))
-    met = arrivals.join(h, ["library_id", "path"]).filter("id <> held_by")
+    met = _met(arrivals, h, ["library_id", "path"]).filter("id <> held_by")
     arriving = F.col("__held").isNotNull() & ((F.col("__held") < F.col("stamp")) | ((F.col("__held") == F.col("stamp")) & (F.col("held_by") < F.col("id"))))
     back = holders.select("library_id", F.col("path").alias("was"), F.lit(True).alias("__taken")).distinct()
     spent = holders.select("library_id", F.regexp_extract("path", r"^(.*)_(\d{1,9})$", 1).alias("path"), F.regexp_extract("path", r"_(\d{1,9})$", 1).try_cast("int").alias("k")).filter("k >= 2")
