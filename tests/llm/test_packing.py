@@ -2,6 +2,7 @@ import functools
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
@@ -29,6 +30,18 @@ def test_word_table_gives_the_ids_of_whole_texts():
     assert tok.ids(None) == b""
 
 
+def test_texts_are_encoded_together_and_a_piece_once():
+    tok = WordTokenizer(default_tokenizer())
+    texts = [*TEXTS, None, " \ta\x0bWord word, \x0c word.\r\n", "word's WORD!! word,. ,word \x85word x\u3000y word;", "a" * 5000]
+    assert [np.frombuffer(b.as_py(), "<u4").tolist() for b in tok.ids_of(pa.array(texts))] == [whole_ids(t) for t in texts]
+    tok, made = WordTokenizer(default_tokenizer()), []
+    piece = tok.pieces.make
+    tok.pieces.make = lambda p: made.append(p) or piece(p)
+    tok.ids_of(pa.array(["Word word, WORD. word", "word; Word"]))
+    assert tok.ids("word, Word") == tok.ids_of(pa.array(["word, Word"]))[0].as_py()
+    assert sorted(made) == [",", ".", ";", "word"]
+
+
 def check(rows, docs, capacity):
     by_doc, by_seq = {}, {}
     for r in rows:

@@ -27,10 +27,11 @@ import zlib
 from array import array
 from bisect import bisect_left, insort
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrow import cut, map_batches
+from .arrow import by_size, cut
 from .tokens import WordTokenizer, default_tokenizer
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -40,29 +41,23 @@ def tokenize_pieces(docs: DataFrame, tokenizer: str | None = None, capacity: int
     """One row for each piece of each row of ``docs`` (doc_id, text): doc_id, piece, start, length, ids_crc32."""
     path = tokenizer or default_tokenizer()
 
-    def make():
+    names = [c.split()[0] for c in PIECES.split(", ")]
+
+    def run(batches):
         tok = WordTokenizer(path)
         end = array("I", [separator])
         if sys.byteorder == "big":
             end.byteswap()
-        end = end.tobytes()
-
-        def step(cols):
-            out = {k: [] for k in ("doc_id", "piece", "start", "length", "ids_crc32")}
-            for doc_id, text in zip(cols["doc_id"], cols["text"]):
-                ids = tok.ids(text) + end
-                for piece, at in enumerate(range(0, len(ids), 4 * capacity)):
-                    part = ids[at : at + 4 * capacity]
-                    out["doc_id"].append(doc_id)
-                    out["piece"].append(piece)
-                    out["start"].append(at // 4)
-                    out["length"].append(len(part) // 4)
-                    out["ids_crc32"].append(zlib.crc32(part))
-            return out
-
-        return step
-
-    return map_batches(docs.select("doc_id", "text"), make, PIECES)
+        end, width = end.tobytes(), 4 * capacity
+        for part in by_size(batches, "text"):
+            rows = []
+            for doc_id, ids in zip(part.column("doc_id").to_pylist(), tok.ids_of(part.column("text"))):
+                ids = ids.as_py() + end
+                pieces = (ids[at : at + width] for at in range(0, len(ids), width))
+                rows += [(doc_id, n, n * capacity, len(p) // 4, zlib.crc32(p)) for n, p in enumerate(pieces)]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=names)
+
+    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 
 
 def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
