@@ -12,6 +12,7 @@ from pyspark.sql.types import StructType
 
 import vellum.plans as plans
 from vellum.operators import knots
+from vellum.plans import imports
 from vellum.sources import feed
 
 
@@ -101,3 +102,16 @@ def test_claims_on_one_folder_are_the_work_of_many_tasks(spark, monkeypatch):
     assert changes.folder_claims(arrivals, holders).count() == 35 * 30
     sizes = changes._met(arrivals, holders.withColumnRenamed("id", "held_by").drop("stamp"), ["library_id", "path"]).rdd.glom().map(len).collect()
     assert sum(sizes) == 35 * 30 and max(sizes) < sum(sizes) / 3
+
+
+def test_sidecars_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(imports, "FILES_PER_TASK", 10, raising=False)
+    writers, read = set(), imports.sidecar.read
+
+    def seen(session, folder, pattern):
+        writers.update(os.path.basename(f).split("-")[1] for f in glob.glob(f"{folder.removeprefix('file:')}/*/*.txt"))
+        return read(session, folder, pattern)
+
+    monkeypatch.setattr(imports.sidecar, "read", seen)
+    found, wanted = against_sql(spark, tmp_path, "sidecar_edits_from_files", supplier=("s_suppkey long", [(i,) for i in range(40)]))
+    assert found == wanted and len(found) == 40 and len(writers) > 1

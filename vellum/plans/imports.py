@@ -13,6 +13,10 @@ from .live import own_folder
 from .registry import query
 
 
+#: Files that one task writes.
+FILES_PER_TASK = 250
+
+
 def described(k):
     """A sidecar whose settings follow from a whole number."""
     text = lambda c: c.cast("string")
@@ -55,7 +59,9 @@ def sidecar_edits_from_files(t):
     """The same from a file a supplier, read back from the folder."""
     with own_folder(t) as folder:
         key = F.col("s_suppkey")
-        t.supplier.select(key.alias("k"), described(key).alias("value")).coalesce(1).write.partitionBy("k").text(folder)
+        files = t.supplier.select(key.alias("k"), described(key).alias("value")).repartition(-(-t.supplier.count() // FILES_PER_TASK) or 1, "k")
+        # a file a row: written, and moved to its place (version 2), by the tasks and not by the driver
+        files.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("k").text(folder)
         found = sidecar.read(t.spark, folder, "*.txt").select(F.regexp_extract("path", "/k=([0-9]+)/", 1).cast("long").alias("k"), F.col("text").alias("xmp"))
         return checkpointed(shown(develop.with_edits(found, "xmp")))
 
