@@ -11,7 +11,7 @@ import pyarrow.parquet as pq
 from pyspark.sql.types import StructType
 
 import vellum.plans as plans
-from vellum.operators import knots
+from vellum.operators import knots, solver
 from vellum.plans import imports
 from vellum.sources import feed
 
@@ -115,3 +115,17 @@ def test_sidecars_are_written_by_many_tasks(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(imports.sidecar, "read", seen)
     found, wanted = against_sql(spark, tmp_path, "sidecar_edits_from_files", supplier=("s_suppkey long", [(i,) for i in range(40)]))
     assert found == wanted and len(found) == 40 and len(writers) > 1
+
+
+def test_a_step_of_a_solve_broadcasts_nothing(spark, monkeypatch):
+    plans_of, observed = [], solver._observed
+
+    def seen(df, folder, **sums):
+        plans_of.append(df._jdf.queryExecution().sparkPlan().toString())
+        return observed(df, folder, **sums)
+
+    monkeypatch.setattr(solver, "_observed", seen)
+    edges = spark.createDataFrame([(i, i + 1, 1.0) for i in range(5)], "a long, b long, weight double")
+    rhs = spark.createDataFrame([(i, [float(2 * i - 5)]) for i in range(6)], "node long, v array<double>")
+    w = {r["node"]: r["w"][0] for r in solver.solve_laplacian(edges, rhs, most=3).collect()}
+    assert len(w) == 6 and len(plans_of) > 2 and not any("Broadcast" in p for p in plans_of)

@@ -86,6 +86,11 @@ def zero_like(column: str):
     return F.transform(column, lambda c: c * 0.0)
 
 
+def _shuffled(df: DataFrame) -> DataFrame:
+    """A table of frames to be joined by a shuffle: a broadcast would pass it through the driver, anew in each step."""
+    return df.hint("shuffle_hash")
+
+
 def _observed(df: DataFrame, folder: str, **sums) -> tuple[DataFrame, dict]:
     """The rows, written to the folder and read again so that a step's plan knows nothing of the steps before, and sums over them from the same pass."""
     seen, place = Observation(), f"{folder}/{uuid.uuid4().hex}"
@@ -105,11 +110,11 @@ def solve_laplacian(edges: DataFrame, rhs: DataFrame, precision: float = 1e-6, m
     now = rhs.select("node", zero_like("v").alias("w"), F.col("v").alias("r"), zero_like("v").alias("p"), zero_like("v").alias("s"))
     start = gamma_before = alpha = None
     for _ in range(most + 1):
-        sides = edges.join(now.select(F.col("node").alias("a"), F.col("r").alias("ra")), "a").join(now.select(F.col("node").alias("b"), F.col("r").alias("rb")), "b")
+        sides = edges.join(_shuffled(now.select(F.col("node").alias("a"), F.col("r").alias("ra"))), "a").join(_shuffled(now.select(F.col("node").alias("b"), F.col("r").alias("rb"))), "b")
         flow = F.zip_with("ra", "rb", lambda x, y: (x - y) * F.col("weight"))
         each = sides.select("a", "b", flow.alias("f")).select(F.explode(F.array(F.struct(F.col("a").alias("node"), "f"), F.struct(F.col("b").alias("node"), F.transform("f", lambda x: -x).alias("f")))).alias("e")).select("e.*")
         product = each.groupBy("node").agg(F.array(*(F.sum(F.col("f")[i]) for i in range(width))).alias("q"))
-        now, sums = _observed(now.join(product, "node", "left").withColumn("q", F.coalesce("q", zero_like("r"))), folder, gamma=_dot("r", "r"), delta=_dot("r", "q"))
+        now, sums = _observed(now.join(_shuffled(product), "node", "left").withColumn("q", F.coalesce("q", zero_like("r"))), folder, gamma=_dot("r", "r"), delta=_dot("r", "q"))
         gamma, delta = sums["gamma"], sums["delta"]
         start = gamma if start is None else start
         if not gamma or gamma <= precision**2 * start or not delta:
@@ -132,7 +137,7 @@ def robust_rotations(frames: DataFrame, pairs: DataFrame, sigma: float = 0.02, t
     pairs = checkpointed(pairs.join(known.withColumnRenamed("frame", "a"), "a", "left_semi").join(known.withColumnRenamed("frame", "b"), "b", "left_semi").select("a", "b", "m"))
     kind, now, scale = dict(frames.dtypes)["frame"], frames, 0.5
     for _ in range(most):
-        both = pairs.join(now.select(F.col("frame").alias("a"), F.col("rotation").alias("ra")), "a").join(now.select(F.col("frame").alias("b"), F.col("rotation").alias("rb")), "b")
+        both = pairs.join(_shuffled(now.select(F.col("frame").alias("a"), F.col("rotation").alias("ra"))), "a").join(_shuffled(now.select(F.col("frame").alias("b"), F.col("rotation").alias("rb"))), "b")
         lacks = both.mapInPandas(_lacks, f"a {kind}, b {kind}, turn array<double>")
         far = F.aggregate("turn", F.lit(0.0), lambda s, v: s + v * v)
         weighed = checkpointed(lacks.withColumn("weight", 1 / (1 + far / F.lit(scale**2))))
@@ -141,7 +146,7 @@ def robust_rotations(frames: DataFrame, pairs: DataFrame, sigma: float = 0.02, t
         rhs = each.groupBy("node").agg(F.array(*(F.sum(F.col("t")[i]) for i in range(3))).alias("v"))
         w = solve_laplacian(weighed, rhs, precision)
         largest = w.agg(F.max(F.aggregate("w", F.lit(0.0), lambda s, v: s + v * v))).first()[0]
-        step = now.join(w.withColumnRenamed("node", "frame"), "frame", "left").withColumn("w", F.coalesce("w", F.array(*[F.lit(0.0)] * 3)))
+        step = now.join(_shuffled(w.withColumnRenamed("node", "frame")), "frame", "left").withColumn("w", F.coalesce("w", F.array(*[F.lit(0.0)] * 3)))
         now = checkpointed(step.mapInPandas(_turned, f"frame {kind}, rotation {_MATRIX}"))
         if largest is None or (math.sqrt(largest) <= tolerance and scale <= sigma):
             break
