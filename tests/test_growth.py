@@ -14,6 +14,7 @@ import vellum.plans as plans
 from vellum.operators import knots, solver
 from vellum.plans import imports
 from vellum.sources import feed
+from vellum.streaming import change_log
 
 
 def against_sql(spark, folder, name, **tables):
@@ -129,3 +130,18 @@ def test_a_step_of_a_solve_broadcasts_nothing(spark, monkeypatch):
     rhs = spark.createDataFrame([(i, [float(2 * i - 5)]) for i in range(6)], "node long, v array<double>")
     w = {r["node"]: r["w"][0] for r in solver.solve_laplacian(edges, rhs, most=3).collect()}
     assert len(w) == 6 and len(plans_of) > 2 and not any("Broadcast" in p for p in plans_of)
+
+
+def test_a_micro_batch_is_worked_out_once(spark, tmp_path):
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(batches):
+        for pdf in batches:
+            seen.add(len(pdf))
+            yield pdf
+
+    table = change_log.MergedTable(f"{tmp_path}/table", ["k"], "stamp", 4)
+    for version in (0, 1):
+        rows = spark.range(20).selectExpr("id AS k", f"id + {version} AS stamp")
+        table.apply(rows.mapInPandas(count, "k long, stamp long"), version)
+    assert seen.value == 40 and table.read(spark, 1).filter("stamp = k + 1").count() == 20

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import changes
+from ..operators.graph import checkpointed
 from .buckets import BucketTable
 
 
@@ -27,6 +28,7 @@ class MergedTable:
     def apply(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         latest = batch.groupBy(*self.keys).agg(F.max_by(F.struct(*[F.col(c) for c in batch.columns]), self.stamp).alias("__row")).select("__row.*")
+        latest = checkpointed(latest)  # what follows reads it more than once, and what it comes from may be state
         touched, before = self.table.touched(latest), self.table.before(spark, batch_id)
         if touched & set(self.table.named(spark, before)):
             latest = changes.upsert(self.table.read(spark, before, touched), latest, self.keys, self.stamp)
