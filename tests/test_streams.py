@@ -113,6 +113,17 @@ def test_debounce_is_what_a_clock_gives(spark, tmp_path, seed):
     assert {r[1] for r in got["a"]} == {"paths", "full", "retry"}
 
 
+def test_a_request_waits_until_nothing_can_join_it(spark, tmp_path):
+    """A later event is no sign that a run is over while the watermark lets an event between them in."""
+    schema, folder = "library string, at timestamp, what string, path string", str(tmp_path / "log")
+    events = [(1000, "path", "p"), (1040, "path", "q"), (1095, "path", None), (1070, "path", "p")]
+    for lib, part in (("a", events[:3]), ("b", [(1066, "path", "x")]), ("a", events[3:]), ("", [(2_000_000, "ok", "")])):
+        put(spark, [(lib, datetime.datetime.fromtimestamp(at / 1000, datetime.UTC), what, path) for at, what, path in part], schema, folder)
+    out = debounce.scan_requests(stream_of(spark, schema, folder), 50, 3, 300, "30 milliseconds")
+    out.writeStream.format("memory").queryName("waiting").outputMode("append").trigger(availableNow=True).start().awaitTermination()
+    assert sorted(map(tuple, spark.table("waiting").collect())) == [("a", 1145, "paths", ["p", "q"], 0), ("b", 1116, "paths", ["x"], 0)]
+
+
 def test_buckets_keep_versions_and_clean(spark, tmp_path):
     table = buckets.BucketTable(str(tmp_path / "t"), ["k"], "k long, v string", 4)
     rows = lambda *r: spark.createDataFrame(list(r), "k long, v string")

@@ -123,7 +123,8 @@ SELECT library, max(tick) + 7200000 AS due, CASE WHEN count(DISTINCT user_id) >
 def scan_requests(t):
     with own_folder(t) as folder:
         rows = t.events.select(F.col("event_type").alias("library"), F.col("ts").cast("timestamp").alias("at"), F.lit("path").alias("what"), F.col("user_id").cast("string").alias("path"))
-        rows.coalesce(1).sortWithinPartitions("at").write.option("maxRecordsPerFile", 20_000).parquet(f"{folder}/log")
+        for year in sorted(r[0] for r in rows.filter("at IS NOT NULL").select(F.year("at")).distinct().collect()):  # many tasks write a year, in no order, which is less than events may be late
+            rows.filter(F.year("at") == year).repartitionByRange("at").sortWithinPartitions("at").write.mode("append").option("maxRecordsPerFile", 20_000).parquet(f"{folder}/log")
         last = t.spark.sql("SELECT '' AS library, TIMESTAMP '2100-01-01' AS at, 'ok' AS what, '' AS path")
         last.write.mode("append").parquet(f"{folder}/log")
         out = debounce.scan_requests(change_log.read_log(t.spark, f"{folder}/log", rows.schema, 1000), 7_200_000, 3, late="400 days")
