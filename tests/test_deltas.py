@@ -3,7 +3,7 @@ from collections import Counter
 
 import pytest
 
-from vellum.operators import links
+from vellum.operators import graph, links
 from vellum.streaming import groups, views
 
 
@@ -44,6 +44,18 @@ def test_groups_equal_a_full_run_after_every_batch(spark, tmp_path):
     assert table.clean(spark, 6) > 0 and {r["node"]: r["component"] for r in table.groups(spark, 6).collect()} == {**labels, 1000: 1000, 1001: 1000}
 
 
+def test_links_between_near_vertices_cost_few_rounds(spark, monkeypatch):
+    """Chains of 20 vertices on several tasks: joined within a range first, then one round for those that a border cuts."""
+    edges = [(20 * c + i, 20 * c + i + 1) for c in range(200) for i in range(19)]
+    random.Random(1).shuffle(edges)
+    kept, cut = graph.checkpointed, []
+    monkeypatch.setattr(graph, "EDGES_PER_TASK", 500)
+    monkeypatch.setattr(graph, "checkpointed", lambda df: cut.append(1) or kept(df))
+    got = {r["node"]: r["component"] for r in graph.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {v: v // 20 * 20 for v in range(4000)}
+    assert len(cut) <= 3
+
+
 def test_view_equals_recomputing_with_deletes(spark, tmp_path):
     rng = random.Random(5)
     view = views.JoinView(str(tmp_path), "k long", "x string", "y string", "x <> y", 8)

@@ -31,7 +31,7 @@ class LinkGroups:
         old = checkpointed(near.join(ends, "node", "left_semi").select("component").distinct())
         held = self.links.read(spark, before, self.links.touched(old))
         mine = checkpointed(held.join(old, "component", "left_semi"))
-        new = checkpointed(mine.select("a", "b").join(pairs.filter("removed"), ["a", "b"], "left_anti").union(pairs.filter("NOT removed").select("a", "b")).distinct())
+        new = checkpointed(mine.select("a", "b", F.lit(False).alias("removed")).union(pairs).groupBy("a", "b").agg(F.max("removed").alias("removed")).filter("NOT removed").select("a", "b"))
         found = checkpointed(connected_components(new).select("node", "component"))
         # labels
         touched_nodes = mine.select(F.explode(F.array("a", "b")).alias("node"), F.col("component").alias("was")).distinct()
@@ -40,8 +40,9 @@ class LinkGroups:
         rest = self.labels.read(spark, before, label_buckets).join(moved, "node", "left_anti")
         self.labels.write(rest.unionByName(moved.filter("component IS NOT NULL").select("node", "component")), label_buckets, version)
         # links: of components that are not as they were
-        named = new.join(found.withColumnRenamed("node", "a"), "a").select("component", "a", "b")
-        change = checkpointed(named.exceptAll(mine).union(mine.exceptAll(named)).select("component").distinct())
+        named = checkpointed(new.join(found.withColumnRenamed("node", "a"), "a").select("component", "a", "b"))
+        both = named.withColumn("n", F.lit(1)).union(mine.select("component", "a", "b", F.lit(-1)))  # links are different in either
+        change = checkpointed(both.groupBy("component", "a", "b").agg(F.sum("n").alias("n")).filter("n <> 0").select("component").distinct())
         link_buckets = self.links.touched(change)
         rest = self.links.read(spark, before, link_buckets).join(change, "component", "left_anti")
         self.links.write(rest.unionByName(named.join(change, "component", "left_semi")), link_buckets, version)
