@@ -145,3 +145,43 @@ def test_a_micro_batch_is_worked_out_once(spark, tmp_path):
         rows = spark.range(20).selectExpr("id AS k", f"id + {version} AS stamp")
         table.apply(rows.mapInPandas(count, "k long, stamp long"), version)
     assert seen.value == 40 and table.read(spark, 1).filter("stamp = k + 1").count() == 20
+
+
+def test_passes_of_a_solve_do_not_grow_with_a_chain(spark, monkeypatch):
+    """A chain of frames is solved exactly by blocks and levels of blocks, not by steps that carry a turn one frame on."""
+    monkeypatch.setattr(solver, "FRAMES_PER_BLOCK", 12, raising=False)
+    passes, observed = [], solver._observed
+    monkeypatch.setattr(solver, "_observed", lambda *a, **k: passes.append(1) or observed(*a, **k))
+    rng = np.random.default_rng(3)
+    truth = solver.rotation_of(np.cumsum(rng.normal(size=(60, 3)), axis=0) * 0.05)
+    pairs = [(a, b) for a in range(60) for b in (a + 1, a + 2) if b < 60 and not a < 40 <= b]  # two chains
+    rows = [(a, b, (truth[b] @ truth[a].T).ravel().tolist()) for a, b in pairs]
+    start = truth @ solver.rotation_of(rng.normal(size=(60, 3)) * 0.1)
+    frames = spark.createDataFrame([(i, r.ravel().tolist()) for i, r in enumerate(start)], "frame long, rotation array<double>")
+    got = solver.robust_rotations(frames, spark.createDataFrame(rows, "a long, b long, rotation array<double>"), most=4)
+    out = {r["frame"]: np.array(r["rotation"]).reshape(3, 3) for r in got.collect()}
+    assert len(out) == 60 and len(passes) < 20
+    for first, frames in ((0, range(40)), (40, range(40, 60))):
+        assert np.allclose(out[first], start[first], atol=1e-9)
+        assert max(np.linalg.norm(solver.turn_of(((out[i] @ out[first].T).T @ (truth[i] @ truth[first].T))[None])) for i in frames) < 1e-3
+
+
+def test_solve_by_blocks(spark, monkeypatch, tmp_path):
+    monkeypatch.setattr(solver, "FRAMES_PER_BLOCK", 9, raising=False)
+    rng = np.random.default_rng(4)
+    names = [f"n{i:03}" for i in range(70)]
+    edges = [(i, j, float(rng.random() + 0.1), rng.normal(size=3)) for i in range(70) for j in (i + 1, i + 2) if j < 70 and not i < 30 <= j] + [(3, 4, 0.5, rng.normal(size=3))]
+    lap, v = np.zeros((70, 70)), np.zeros((70, 3))
+    for a, b, w, t in edges:
+        lap[[a, b], [a, b]] += w
+        lap[[a, b], [b, a]] -= w
+        v[b] += w * t
+        v[a] -= w * t
+    rows = spark.createDataFrame([(names[a], names[b], w, t.tolist()) for a, b, w, t in edges], "a string, b string, weight double, turn array<double>")
+    parts = solver.connected_components(rows)
+    cut, widths = solver.dissected(rows, parts)
+    got = {r["node"]: r["w"] for r in solver.solve_blocks(cut, widths, parts, f"{tmp_path}/levels").collect()}
+    assert len(widths) > 2 and sorted(got) == names
+    assert np.allclose(np.array([got[n] for n in names]), np.linalg.pinv(lap) @ v, atol=1e-9)
+    everything = spark.createDataFrame([(a, b) for a in range(30) for b in range(a)], "a long, b long")
+    assert solver.dissected(everything, solver.connected_components(everything)) is None
